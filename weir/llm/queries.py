@@ -13,6 +13,8 @@ from weir.llm.decontamination import decontaminate
 from weir.llm.licences import scan_licences
 from weir.llm.pseudonyms import pseudonymise
 from weir.llm.sentencepiece_bpe import encode_documents
+from weir.llm.substring_dedup import substring_dedup
+from weir.llm.suffix_dedup import suffix_dedup
 
 #: Key of the registered query; a real run passes its own secret.
 PSEUDONYM_KEY = "example-key"
@@ -33,6 +35,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), ids=False)
 
@@ -46,8 +52,12 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_sentences", "n_known", F.concat_ws(",", "licences").alias("licences"), F.size("matches").cast("long").alias("n_matches"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"), with_bytes=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii_pseudonyms, op4_benchmark_decontamination, op7_sentencepiece, op8_exact_dedup, op9_licence_scan)}
+    return {f.__name__: f for f in (op2_pii_pseudonyms, op4_benchmark_decontamination, op6_substring_dedup, op7_sentencepiece, op8_exact_dedup, op9_licence_scan, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
