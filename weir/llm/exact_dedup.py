@@ -24,22 +24,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Groups of any size are pre-aggregated before the shuffle, and the join back is one that AQE can split.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    full = F.unhex(F.sha2(ascii_lower(text).cast("binary"), 256))
+
+    def full_of(t):
+        return F.unhex(F.sha2(ascii_lower(F.col(t) if isinstance(t, str) else t).cast("binary"), 256)).alias("h")
+
     rows = docs.select(
         F.col(id_col).alias("id"), F.octet_length(text).alias("n"), F.xxhash64(ascii_lower(F.substring(text, 1, prefix_chars))).alias("p"),
-        *([full.alias("h")] if digest else []),
+        *([full_of(text)] if digest else []),
     )
     rows = checkpoint(rows.withColumn("row", F.monotonically_increasing_id()))
+    # every count is taken before its shuffle, so a hot length or group is a row for each task from here on
     lengths = rows.groupBy("n").agg(F.count("*").alias("c")).filter("c > 1").select("n")
-    prefixes = rows.join(lengths, "n", "left_semi").groupBy("n", "p").agg(F.count("*").alias("c")).filter("c > 1").select("n", "p")
-    survivors = rows.join(prefixes, ["n", "p"], "left_semi")
+    prefixes = rows.groupBy("n", "p").agg(F.count("*").alias("c")).filter("c > 1").select("n", "p").join(lengths, "n", "left_semi")
     if not digest:  # only now the content of the surviving groups is read
         again = docs.select(F.octet_length(text).alias("n"), F.xxhash64(ascii_lower(F.substring(text, 1, prefix_chars))).alias("p"), F.col(id_col).alias("id"), text.alias("t"))
-        hashed = again.join(prefixes, ["n", "p"], "left_semi").select("id", "n", "p", F.unhex(F.sha2(ascii_lower(F.col("t")).cast("binary"), 256)).alias("h"))
-        survivors = checkpoint(hashed.withColumn("row", F.monotonically_increasing_id()))
+        hashed = again.join(prefixes, ["n", "p"], "left_semi").select("id", "n", "p", full_of("t"))
         singles = rows.join(prefixes, ["n", "p"], "left_anti")
-        rows = singles.withColumn("h", F.lit(None).cast("binary")).select("id", "n", "p", "h", "row").unionByName(survivors)
-    groups = survivors.groupBy("n", "p", "h").agg(F.count("*").alias("size"), F.max(F.struct("id", "row")).alias("top")).filter("size > 1")
+        hashed = checkpoint(hashed.withColumn("row", F.monotonically_increasing_id()))
+        rows = singles.withColumn("h", F.lit(None).cast("binary")).select("id", "n", "p", "h", "row").unionByName(hashed)
+    groups = rows.filter("h IS NOT NULL").groupBy("n", "p", "h").agg(F.count("*").alias("size"), F.max(F.struct("id", "row")).alias("top"))
+    groups = groups.join(prefixes, ["n", "p"], "left_semi").filter("size > 1")
     r, g = rows.alias("r"), groups.alias("g")
     out = r.join(g, (F.col("r.n") == F.col("g.n")) & (F.col("r.p") == F.col("g.p")) & (F.col("r.h") == F.col("g.h")), "left")
     return out.select(
