@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weir.llm import exact_dedup
 from weir.llm.common import table
 from weir.llm.decontamination import decontaminate
+from weir.llm.jaccard_join import jaccard_join
 from weir.llm.licences import scan_licences
 from weir.llm.pseudonyms import pseudonymise
 from weir.llm.sentencepiece_bpe import encode_documents
@@ -35,6 +36,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -57,7 +62,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii_pseudonyms, op4_benchmark_decontamination, op6_substring_dedup, op7_sentencepiece, op8_exact_dedup, op9_licence_scan, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op2_pii_pseudonyms, op4_benchmark_decontamination, op5_jaccard_join, op6_substring_dedup, op7_sentencepiece, op8_exact_dedup, op9_licence_scan, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
