@@ -18,18 +18,26 @@ from pyspark.sql import functions as F
 
 from weir.llm.common import parallelism, text_buffer
 
-#: A document's chunk holds about a quarter of what a shuffle partition holds.
-CHUNKS_PER_PARTITION = 4
+#: Chunks and buckets for each shuffle partition, and the stored bytes below which neither is split further: the
+#: blobs are as many as chunks times buckets at most, so they must not multiply where partitions are many and small.
+CHUNKS_PER_PARTITION, BUCKETS_PER_PARTITION = 4, 2
+LEAST_BYTES = 512 << 10
 ANSWER = "chunk int, bucket int, bits binary"
 #: Order of a null id: before all others.
 NULL_ID = np.iinfo(np.int64).min
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(chunk, id, text), dealt by a hash of the id, so by no source, length or text."""
+def layout(docs: DataFrame) -> tuple[int, int]:
+    """(chunks, buckets, a power of two). The size is the planner's, from the files' lengths; unknown counts as large."""
     n = parallelism(docs.sparkSession)
+    parts = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // LEAST_BYTES + 1
+    return min(CHUNKS_PER_PARTITION * n, parts), 1 << (min(BUCKETS_PER_PARTITION * n, parts) - 1).bit_length()
+
+
+def chunked(docs: DataFrame, id_col: str, text_col: str, chunks: int) -> DataFrame:
+    """(chunk, id, text), dealt by a hash of the id, so by no source, length or text."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.select(F.pmod(F.xxhash64("id"), F.lit(CHUNKS_PER_PARTITION * n)).cast("int").alias("chunk"), "id", "text").repartition(n, "chunk")
+    return rows.select(F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"), "id", "text").repartition(parallelism(docs.sparkSession), "chunk")
 
 
 class Chunk:

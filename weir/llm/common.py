@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes that one numpy pass takes at most (a longer document is still one pass).
-SLICE_BYTES = 2 << 20
+#: Text bytes of one numpy pass, so that its arrays stay in a core's cache (a longer document is one pass).
+SLICE_BYTES = 1 << 16
 U64 = np.uint64
 
 
@@ -58,11 +58,6 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def buckets_for(spark: SparkSession) -> int:
-    """Hash buckets of a blob exchange: a power of two, two to four for each shuffle partition."""
-    return 1 << (2 * parallelism(spark) - 1).bit_length()
-
-
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -99,13 +94,6 @@ def slices(off: np.ndarray, budget: int = SLICE_BYTES) -> Iterator[tuple[int, in
         a = min(b, n)
 
 
-def batches_of(batch: pa.RecordBatch, column: str, budget: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a record batch that hold about `budget` bytes of text each."""
-    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    for a, b in slices(np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), budget):
-        yield batch.slice(a, b - a)
-
-
 # ---- numpy hashing ------------------------------------------------------------------------------
 
 
@@ -166,3 +154,19 @@ def doc_rows(first: np.ndarray, width: int) -> np.ndarray:
     n = int(first[-1])
     left = np.repeat(first[1:], np.diff(first)) - np.arange(n)
     return np.flatnonzero(left >= width)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, mod: int, remainder: int, bounds: tuple[int, int], max_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
+    """((id, label, text) of at most bounds[label] labelled documents, the number of all labels that may be learned from).
+
+    Labels of held-out ids, null ids and labels other than 0 and 1 are never used; of several labels of an id the
+    largest counts, of several texts the largest. The ids with the least hashes are taken, so the sample is the same in
+    every run. Texts of over max_bytes bytes are not learned from. The ids' side of the join is bounded, so broadcast.
+    """
+    usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id IS NOT NULL AND label IN (0, 1)")
+    usable = usable.filter(~held_out(F.col("id"), mod, remainder)).groupBy("id").agg(F.max("label").alias("label"))
+    counts = {r.label: r["count"] for r in usable.groupBy("label").count().collect()}
+    first, second = (usable.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(bounds[k]) for k in (0, 1))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.join(F.broadcast(first.unionByName(second)), "id").filter(F.octet_length("text") <= max_bytes)
+    return rows.groupBy("id", "label").agg(F.max("text").alias("text")), counts

@@ -20,8 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.blobs import Chunk, Keys, chunked
-from weir.llm.common import LOWER, U64, buckets_for, checkpoint, mix, slices, stored, stream, word_hashes, words
+from weir.llm.blobs import Chunk, Keys, chunked, layout
+from weir.llm.common import LOWER, U64, checkpoint, mix, slices, stored, stream, word_hashes, words
 from weir.llm.components import components
 
 WIDTH = 4
@@ -144,8 +144,8 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int]
     where there is none else. Ids are read as bigint, other columns aren't looked at, empty tables give no rows.
     """
     num, den = threshold
-    buckets = buckets_for(docs.sparkSession)
-    source = chunked(docs, id_col, text_col)
+    chunks, buckets = layout(docs)
+    source = chunked(docs, id_col, text_col, chunks)
 
     def describe(rows: pa.Table) -> pa.Table:
         c = Shingles(rows, width)

@@ -16,8 +16,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.blobs import ANSWER, KEY_ROWS, Chunk, Keys, answers, chunked, cuts, pack, shared_keys, unpack
-from weir.llm.common import U64, buckets_for, doc_rows, mix, slices, stream, word_hashes, words
+from weir.llm.blobs import ANSWER, KEY_ROWS, Chunk, Keys, answers, chunked, cuts, layout, pack, shared_keys, unpack
+from weir.llm.common import U64, doc_rows, mix, slices, stream, word_hashes, words
 
 WINDOW = 20
 #: The first level has at least so many words.
@@ -131,10 +131,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     Windows are compared by 96 bits. A window that is frequent in a chunk is sent once from it, so a hot passage
     reaches its bucket at most once for each chunk.
     """
-    spark = docs.sparkSession
-    buckets = buckets_for(spark)
+    chunks, buckets = layout(docs)
     steps = lengths(window, least_words)
-    source = chunked(docs, id_col, text_col)
+    source = chunked(docs, id_col, text_col, chunks)
     final = len(steps) - 1
 
     def windows(chunk: Words, level: int, answer: pa.Table | None) -> np.ndarray:

@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.blobs import ANSWER, KEY_ROWS, Chunk, Keys, answers, chunked, cuts, pack, shared_keys
-from weir.llm.common import U64, buckets_for, mix, slices, stream
+from weir.llm.blobs import ANSWER, KEY_ROWS, Chunk, Keys, answers, chunked, cuts, layout, pack, shared_keys
+from weir.llm.common import U64, mix, slices, stream
 
 LENGTH = 100
 GRAM = 16
@@ -242,9 +242,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     """
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM}")
-    spark = docs.sparkSession
-    buckets = buckets_for(spark)
-    source = chunked(docs, id_col, text_col)
+    chunks, buckets = layout(docs)
+    source = chunked(docs, id_col, text_col, chunks)
 
     def first(rows: pa.Table) -> pa.Table:
         chunk = Stretches(rows, length)
