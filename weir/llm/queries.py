@@ -13,9 +13,11 @@ from weir.llm.decontamination import decontaminate
 from weir.llm.jaccard_join import jaccard_join
 from weir.llm.licences import scan_licences
 from weir.llm.pseudonyms import pseudonymise
+from weir.llm.quality import score_quality
 from weir.llm.sentencepiece_bpe import encode_documents
 from weir.llm.substring_dedup import substring_dedup
 from weir.llm.suffix_dedup import suffix_dedup
+from weir.llm.toxicity import score_toxicity
 
 #: Key of the registered query; a real run passes its own secret.
 PSEUDONYM_KEY = "example-key"
@@ -27,10 +29,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
 
 
+def op3_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), with_spans=False)
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -62,7 +72,11 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii_pseudonyms, op4_benchmark_decontamination, op5_jaccard_join, op6_substring_dedup, op7_sentencepiece, op8_exact_dedup, op9_licence_scan, op10_suffix_array_dedup)}
+    every = (
+        op1_quality_ranking, op2_pii_pseudonyms, op3_toxicity_kernel, op4_benchmark_decontamination, op5_jaccard_join,
+        op6_substring_dedup, op7_sentencepiece, op8_exact_dedup, op9_licence_scan, op10_suffix_array_dedup,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
