@@ -2,9 +2,9 @@
 
 A string of `length` bytes that occurs twice has the same smallest hash among its 16-byte grams in both places. So
 each text is cut into *stretches*, runs of starting places whose leftmost smallest gram is the same one, and all
-copies of a string meet in the bucket of its hash. A first round finds the hashes that occur again at all (a few bytes for each
-stretch, one for about 43 bytes of text), a second sends the stretches that have one to the bucket, which sorts
-their suffixes into a suffix array and takes the longest previous factor of each place from its previous and next
+copies of a string meet in the bucket of its hash. A first round finds the stretches of which one half, the gram with
+the bytes before or after it, occurs again at all (a few bytes for each stretch, one for about 43 bytes of text), a
+second sends those stretches to the bucket, which sorts their suffixes into a suffix array and takes the longest previous factor of each place from its previous and next
 smaller positions. Only whether that is `length` or more matters, so suffixes are ordered, and compared, by their
 first `length` bytes, and equal ones stay by position.
 """
@@ -56,14 +56,18 @@ def window_minimum(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[:n], left[w - 1 : w - 1 + n])
 
 
-def stretches(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first place, places, hash) of the stretches in a buffer. Places are those from first to before last of each document."""
+def stretches(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(first place, places, hash, hashes of either half and whether they count) of the stretches in a buffer.
+
+    Places are those from first to before last of each document. A string of `length` bytes has either the bytes of
+    its gram and as many before it as `half`, or the gram and enough after it; those are the halves.
+    """
     gram = byte_grams(data)
-    gram &= ~U64((1 << PLACE_BITS) - 1)
-    gram |= np.arange(len(gram), dtype=U64)  # so the least is the leftmost of equal ones, and says where it stands
-    low = window_minimum(gram, length - GRAM + 1)
+    marked = gram & ~U64((1 << PLACE_BITS) - 1)
+    marked |= np.arange(len(gram), dtype=U64)  # so the least is the leftmost of equal ones, and says where it stands
+    low = window_minimum(marked, length - GRAM + 1)
     if not len(low) or not len(first):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), *[np.zeros(0, U64)] * 3, *[np.zeros(0, bool)] * 2
     edge = np.zeros(len(low) + 1, np.int32)
     np.add.at(edge, first, 1)
     np.add.at(edge, last, -1)
@@ -74,7 +78,15 @@ def stretches(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int
     at = np.flatnonzero(new)
     stop = np.flatnonzero(new | ~valid)
     end = np.append(stop, len(low))[np.searchsorted(stop, at, "right")]
-    return at, end - at, mix(low[at] >> U64(PLACE_BITS))
+    place = (low[at] & U64((1 << PLACE_BITS) - 1)).astype(np.int64)
+    half = (length - GRAM + 1) // 2
+    sides = []
+    for steps in ([*range(-half, 0, GRAM), 0], [*range(0, length - GRAM - half + 1, GRAM), length - GRAM - half + 1]):
+        total = np.zeros(len(at), U64)
+        for k in steps:
+            total = mix(total + gram[np.clip(place + k, 0, len(gram) - 1)])
+        sides.append(total)
+    return at, end - at, mix(low[at] >> U64(PLACE_BITS)), sides[0], ~sides[1], at <= place - half, end - 1 > place - half
 
 
 class Stretches(Chunk):
@@ -83,18 +95,29 @@ class Stretches(Chunk):
     def __init__(self, rows: pa.Table, length: int):
         super().__init__(rows)
         self.length = length
-        begin, count, least = [], [], []
+        found = []
         for a, b in slices(self.off):
             lo, hi = int(self.off[a]), int(self.off[b])
             for at in range(lo, hi, BLOCK):  # more than one only for a very long document
                 first = np.maximum(self.off[a:b], at) - at
                 last = np.minimum(self.off[a + 1 : b + 1] - length + 1, at + BLOCK) - at
-                found = stretches(self.data[at : min(hi, at + BLOCK + length - 1)], first[last > first], last[last > first], length)
-                begin.append(found[0] + at)
-                count.append(found[1])
-                least.append(found[2])
-        cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        self.begin, self.count, self.least = cat(begin, np.int64), cat(count, np.int64), cat(least, U64)
+                one = stretches(self.data[at : min(hi, at + BLOCK + length - 1)], first[last > first], last[last > first], length)
+                found.append((one[0] + at, *one[1:]))
+        if not found:
+            found.append(stretches(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), length))
+        self.begin, self.count, self.least, self.left, self.right, self.has_left, self.has_right = (np.concatenate(x) for x in zip(*found, strict=True))
+
+    def keys(self, buckets: int) -> Keys:
+        return Keys(np.concatenate([self.left[self.has_left], self.right[self.has_right]]), buckets, KEY_BYTES)
+
+    def again(self, answer: pa.Table, buckets: int) -> np.ndarray:
+        """Whether a stretch has a half that occurs again."""
+        found = self.keys(buckets).repeated(answer)
+        out = np.zeros(len(self.begin), bool)
+        n = int(np.count_nonzero(self.has_left))
+        out[self.has_left] = found[:n]
+        out[self.has_right] |= found[n:]
+        return out
 
 
 STRETCH_ROWS = "bucket int, chunk int, keys binary, ids binary, counts binary, text binary"
@@ -147,19 +170,29 @@ def _places(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def ranks(text: np.ndarray, piece_end: np.ndarray, length: int, want: np.ndarray) -> np.ndarray:
-    """Ranks of the suffixes at `want` by their first `length` bytes, by doubling: the (cut) suffix array.
+    """Ranks of the suffixes at `want` by their first `length` bytes: the (cut) suffix array, by tripling.
 
-    piece_end: end of the piece that each byte belongs to; a suffix has `length` bytes inside its piece.
+    piece_end: end of the piece that each byte belongs to; the suffixes at `want` have `length` bytes inside theirs.
+    The first ranks are of 7 bytes, read as one number; each step then joins the ranks of two or three places.
     """
-    rank, known = text.astype(np.int64), 1
+    n = len(text)
+    join = 3 if n < 1 << 21 else 2  # ranks that fit into 63 bits
+    left = piece_end - np.arange(n)
+    known = min(7, length)
+    key = np.zeros(n, np.int64)
+    for k in range(known):
+        key[: n - k] |= text[k:].astype(np.int64) << (8 * (6 - k))
+    at = np.flatnonzero(left >= known)
+    rank = np.zeros(n, np.int64)
+    rank[at] = np.unique(key[at], return_inverse=True)[1]
     while known < length:
-        step = min(known, length - known)
-        left = np.arange(len(text)) + known + step <= piece_end
-        at = np.flatnonzero(left) if known + step < length else want
-        key = (rank[at] << 32) | rank[at + step]
-        new = np.zeros(len(text), np.int64)
+        size = min(join * known, length)
+        at = np.flatnonzero(left >= size) if size < length else want
+        mid, last = min(known, size - known), size - known
+        key = (rank[at] << 42) | (rank[at + mid] << 21) | rank[at + last] if join == 3 else (rank[at] << 31) | rank[at + last]
+        new = np.zeros(n, np.int64)
         new[at] = np.unique(key, return_inverse=True)[1]
-        rank, known = new, known + step
+        rank, known = new, size
     return rank[want]
 
 
@@ -209,9 +242,9 @@ def factors(length: int):
         live = live[~alone]
         buffer = np.frombuffer(raw, np.uint8)
         at, batch = 0, 0
-        while at < len(live):  # whole hashes, about 4 MB of suffixes at a time
+        while at < len(live):  # whole hashes, about 1 MB of suffixes at a time
             stop, batch = at, 0
-            while stop < len(live) and (batch < 4 << 20 or keys[live[stop]] == keys[live[stop - 1]]):
+            while stop < len(live) and (batch < 1 << 20 or keys[live[stop]] == keys[live[stop - 1]]):
                 batch += int(size[live[stop]])
                 stop += 1
             part = live[at:stop]
@@ -247,24 +280,24 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
 
     def first(rows: pa.Table) -> pa.Table:
         chunk = Stretches(rows, length)
-        return Keys(chunk.least, buckets, KEY_BYTES).rows(chunk.number)
+        return chunk.keys(buckets).rows(chunk.number)
 
-    def again(chunk: Stretches, answer: pa.Table, kind: int) -> pa.Table:
+    def of(answer: pa.Table, kind: int) -> pa.Table:
         return answer.filter(pc.equal(answer.column("kind"), kind)).select(["chunk", "bucket", "bits"])
 
     def second(rows: pa.Table, answer: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return pa.table({n: pa.array([], t) for n, t in (("bucket", pa.int32()), ("chunk", pa.int32()), *((n, pa.binary()) for n in ("keys", "ids", "counts", "text")))})
         chunk = Stretches(rows, length)
-        return Sent(chunk, Keys(chunk.least, buckets, KEY_BYTES).repeated(answer), buckets).rows()
+        return Sent(chunk, chunk.again(answer, buckets), buckets).rows()
 
     def finish(rows: pa.Table, answer: pa.Table) -> pa.Table:
         names = (("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *([("kept", pa.binary())] if with_bytes else []))
         if not rows.num_rows:
             return pa.table({n: pa.array([], t) for n, t in names})
         chunk = Stretches(rows, length)
-        repeated = Keys(chunk.least, buckets, KEY_BYTES).repeated(again(chunk, answer, 1))
-        later = Sent(chunk, repeated, buckets).later(again(chunk, answer, 2))
+        repeated = chunk.again(of(answer, 1), buckets)
+        later = Sent(chunk, repeated, buckets).later(of(answer, 2))
         edge = np.zeros(len(chunk.data) + length + 1, np.int32)
         np.add.at(edge, later, 1)
         np.add.at(edge, later + length, -1)
