@@ -4,8 +4,8 @@
 2. Shingles get a global order: rarer levels of document frequency first, then by hash. A document's prefix is its
    first n - ceil(t n) + 1 shingles; two sets that reach the threshold t share one there. Shingles that no other class
    has can't be shared, so a document whose prefix is made of those alone is done.
-3. Classes with identical prefixes and sizes make one *group*; groups that share a prefix shingle and whose sizes
-   allow t are group pairs, which are expanded to their members, and those verified on whole sets.
+3. Classes with identical prefixes and sizes make one *group*; groups that share a prefix shingle, and whose sizes and
+   places of that shingle allow t, are group pairs, which are expanded to their members, and those verified on whole sets.
 4. Links are only needed as far as they join components: first each group of a shingle is held against one pivot,
    twice; then, exactly, all pairs between groups that share a shingle and are still in different components.
 """
@@ -174,7 +174,7 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int]
     sent = source.groupBy("chunk").cogroup(reps.groupBy("chunk")).applyInArrow(send, "bucket int, chunk int, keys binary, many binary")
     levels = sent.groupBy("bucket").applyInArrow(frequency_levels, "chunk int, bucket int, bits binary")
     told = levels.withColumn("kind", F.lit(1)).unionByName(reps.withColumn("kind", F.lit(0)))
-    kinds = (("node", pa.binary()), ("n", pa.int64()), ("grp", pa.binary()), ("prefix", pa.list_(pa.int64())), ("items", pa.binary()))
+    kinds = (("node", pa.binary()), ("n", pa.int64()), ("grp", pa.binary()), ("own", pa.int32()), ("prefix", pa.list_(pa.int64())), ("items", pa.binary()))
 
     def index(rows: pa.Table, told: pa.Table) -> pa.Table:
         out: dict[str, list] = {k: [] for k, _ in kinds}
@@ -188,18 +188,20 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int]
                 s = c.sets[k]
                 n, start, stop = len(s), stop, stop + len(s)
                 p = n - -(-num * n // den) + 1
-                own = level[start:stop]
-                if np.count_nonzero(own == 1) >= p:
+                rank = level[start:stop]
+                alone = int(np.count_nonzero(rank == 1))
+                if alone >= p:
                     continue
-                first = np.argsort(own, kind="stable")[:p]  # the set is in order of hash
+                first = np.argsort(rank, kind="stable")[:p]  # the set is in order of hash
                 out["node"].append(fingerprint(s))
                 out["n"].append(n)
                 out["grp"].append(hashlib.blake2b(s[first].tobytes() + n.to_bytes(8, "little"), digest_size=16).digest())
-                out["prefix"].append(s[first[own[first] > 1]].view(np.int64))
+                out["own"].append(alone)
+                out["prefix"].append(s[first[alone:]].view(np.int64))
                 out["items"].append(short(s))
         return pa.table({k: pa.array(out[k], t) for k, t in kinds})
 
-    table = source.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(index, "node binary, n bigint, grp binary, prefix array<bigint>, items binary")
+    table = source.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(index, "node binary, n bigint, grp binary, own int, prefix array<bigint>, items binary")
     table = stored(table, "jaccard")
     roots = _linked(table, num, den)
     # the component of a class, then of every document
@@ -215,18 +217,21 @@ def _linked(table: DataFrame, num: int, den: int) -> DataFrame:
     """(node, root) of all classes that have a link."""
     sets = table.select("node", "items")
     nodes = table.select("node", "n", "grp")
-    groups = table.groupBy("grp").agg(F.min("node").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    posts = groups.select(F.explode("prefix").alias("token"), "grp", "rep", "n")
+    groups = table.groupBy("grp").agg(F.min("node").alias("rep"), F.first("n").alias("n"), F.first("own").alias("own"), F.first("prefix").alias("prefix"))
+    posts = groups.select(F.posexplode("prefix").alias("pos", "token"), "grp", "rep", "n", "own").withColumn("pos", F.col("pos") + F.col("own")).drop("own")
     # a shingle in one group only has nothing to join
     shared = posts.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
     posts = checkpoint(posts.join(shared, "token", "left_semi"))
-    fits = f"{den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)"
+    # sizes allow the threshold; and at the first shingle in common, what follows on either side still does
+    fits = f"{den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) AND {num + den} * least(x.n - x.pos, y.n - y.pos) >= {num} * (x.n + y.n)"
 
     edges = None
     roots = nodes.select("node", F.col("node").alias("root")).filter("false")
     for k in range(PIVOT_ROUNDS):
-        at = _rooted(posts.select("token", F.col("rep").alias("node"), "n"), roots)
-        pivots = at.groupBy("token").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(k))).alias("p")).select("token", "p.*")
+        at = _rooted(posts.select("token", F.col("rep").alias("node"), "n", "pos"), roots)
+        # the pivot has few shingles before this one, so it is near to many
+        near = F.struct(F.floor(F.col("pos") / (1 + 3 * k)), F.xxhash64("node", F.lit(k)))
+        pivots = at.groupBy("token").agg(F.min_by(F.struct("node", "n", "root", "pos"), near).alias("p")).select("token", "p.*")
         pairs = at.alias("x").join(pivots.alias("y"), "token").filter(f"x.root <> y.root AND {fits}").select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
         inner = _rooted(nodes, roots)
         heads = inner.groupBy("grp").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(k))).alias("p"), F.count("*").alias("c")).filter("c > 1").select("grp", "p.*")
@@ -240,7 +245,7 @@ def _linked(table: DataFrame, num: int, den: int) -> DataFrame:
     span = placed.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     whole = span.filter("low = high").select("grp", F.col("low").alias("root"), F.col("grp").alias("unit"))
     torn = placed.join(span.filter("low <> high").select("grp"), "grp", "left_semi").select("grp", "root", F.col("node").alias("unit"))
-    units = posts.select("token", "grp", "n").join(whole.unionByName(torn), "grp").select("token", "unit", "n", "root")
+    units = posts.select("token", "grp", "n", "pos").join(whole.unionByName(torn), "grp").select("token", "unit", "n", "pos", "root")
     sizes = units.groupBy("token", "root").agg(F.count("*").alias("c"))
     split = sizes.groupBy("token").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("main")).filter("roots > 1").select("token", "main")
     open_ = checkpoint(units.join(split, "token"))
