@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm.common import ascii_lower, stored, table
+from weir.llm.common import ascii_lower, fresh_prefix, stored, table
 from weir.llm.decontamination import decontaminate
 from weir.llm.exact_dedup import exact_dedup
 from weir.llm.jaccard_join import jaccard_join
@@ -22,15 +22,18 @@ from weir.llm.toxicity import score_toxicity
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.7."""
-    return score_toxicity(docs, table(spark, sf_dir, "labels"), carry=docs.columns).filter("predicted = 0").select(*docs.columns)
+    p = fresh_prefix(docs.columns)
+    return score_toxicity(docs, table(spark, sf_dir, "labels"), carry=docs.columns, prefix=p).filter(F.col(f"{p}predicted") == 0).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for the case of A-Z the row with the largest id."""
+    p = fresh_prefix(docs.columns)
+    on = [f"{p}key", f"{p}sha"]
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    kept = exact_dedup(docs, digest=True).filter("kept").select(key.alias("__key"), F.col("text_sha256").alias("__sha"))
-    rows = docs.withColumns({"__key": key, "__sha": F.sha2(ascii_lower(F.coalesce("text", F.lit(""))).cast("binary"), 256)})
-    return rows.join(kept, ["__key", "__sha"], "left_semi").dropDuplicates(["__key", "__sha"]).select(*docs.columns)
+    kept = exact_dedup(docs, digest=True).filter("kept").select(key.alias(on[0]), F.col("text_sha256").alias(on[1]))
+    rows = docs.withColumns({on[0]: key, on[1]: F.sha2(ascii_lower(F.coalesce("text", F.lit(""))).cast("binary"), 256)})
+    return rows.join(kept, on, "left_semi").dropDuplicates(on).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +44,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark windows cover less than one word in twenty."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"), with_spans=False, carry=docs.columns).filter("NOT contaminated").select(*docs.columns)
+    p = fresh_prefix(docs.columns)
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), with_spans=False, carry=docs.columns, prefix=p).filter(~F.col(f"{p}contaminated")).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,6 +58,14 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def fresh_prefix(taken: list[str]) -> str:
+    """A prefix that none of the names begins with."""
+    p = "_"
+    while any(t.lower().startswith(p) for t in taken):
+        p += "_"
+    return p
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -19,7 +19,7 @@ WINDOW = 13
 #: Bytes of item text that one automaton may hold. A larger benchmark is scanned for in blocks of items.
 BLOCK_BYTES = 8 << 20
 #: Columns that carry what earlier blocks have found.
-_HIT, _IDS = "__hit_so_far", "__ids_so_far"
+_HIT, _IDS = "hit_so_far", "ids_so_far"
 #: Non-ASCII bytes and ASCII letters and digits make words; all else separates them.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -82,12 +82,12 @@ def spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(int(chars[begin[f]]), int(chars[end[k]])) for f, k in zip(first, last, strict=True)]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, with_spans: bool = True, carry: list[str] | None = None, share: tuple[int, int] = (1, 20), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, with_spans: bool = True, carry: list[str] | None = None, share: tuple[int, int] = (1, 20), block_bytes: int = BLOCK_BYTES, prefix: str = "") -> DataFrame:
     """One row per document: its id, n_words, n_hit, n_items, item_ids, contaminated[, spans][, carried columns].
 
     A document is contaminated when n_hit > 0 and n_hit / n_words is at least share. Null and empty texts have no
     words and no hits, an item without words matches nothing, repeated rows of either table are each scanned or
-    count once; a null item id is read as the text "null". Spans are character offsets into the original text.
+    count once; a null item id is read as the text "null". A prefix keeps new columns apart from carried ones of their name. Spans are character offsets into the original text.
 
     The benchmark is a stated query set: its size is measured first, and beyond block_bytes it is scanned for in
     blocks, one automaton each, whose hits are joined by word position, so what a task holds stays bounded.
@@ -99,12 +99,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kept = list(dict.fromkeys([id_col, *(carry or [])]))
     kinds = {f.name: f for f in docs.schema.fields}
     num, den = share
-    so_far = [T.StructField(_HIT, T.ArrayType(T.LongType())), T.StructField(_IDS, T.ArrayType(T.StringType()))]
+    so_far = [T.StructField(prefix + _HIT, T.ArrayType(T.LongType())), T.StructField(prefix + _IDS, T.ArrayType(T.StringType()))]
     result = T.StructType([
         *(kinds[c] for c in kept),
-        T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()),
-        T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("contaminated", T.BooleanType()), T.StructField("items_sha256", T.StringType()),
-        *([T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])))] if with_spans else []),
+        T.StructField(prefix + "n_words", T.LongType()), T.StructField(prefix + "n_hit", T.LongType()), T.StructField(prefix + "n_items", T.LongType()),
+        T.StructField(prefix + "item_ids", T.ArrayType(T.StringType())), T.StructField(prefix + "contaminated", T.BooleanType()), T.StructField(prefix + "items_sha256", T.StringType()),
+        *([T.StructField(prefix + "spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])))] if with_spans else []),
     ])
     passed = list(dict.fromkeys([*kept, text_col]))
 
@@ -116,7 +116,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             a, info = automaton(sent.value, window)
             for batch in batches:
                 out = []
-                before = zip(batch.column(_HIT).to_pylist(), batch.column(_IDS).to_pylist(), strict=True) if not first else repeat(([], []))
+                before = zip(batch.column(prefix + _HIT).to_pylist(), batch.column(prefix + _IDS).to_pylist(), strict=True) if not first else repeat(([], []))
                 for text, (had, ids_had) in zip(batch.column(text_col), before, strict=False):
                     text = text.as_py()
                     n, hit, ids = scan(text, a, info)
@@ -126,7 +126,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     out.append((n, hit, ids, spans(text, hit) if with_spans and last and len(hit) else []))
                 if not last:
                     cols = [batch.column(c) for c in passed] + [pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays(cols, names=[*passed, _HIT, _IDS])
+                    yield pa.RecordBatch.from_arrays(cols, names=[*passed, prefix + _HIT, prefix + _IDS])
                     continue
                 cols = [batch.column(c) for c in kept]
                 cols += [

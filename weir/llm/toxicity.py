@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from weir.llm.common import held_out, labelled_sample
 
 DECAY, MAX_SPAN = 0.6, 6
-LANDMARKS_FOR, LANDMARKS_AGAINST = 128, 128
+LANDMARKS_FOR, LANDMARKS_AGAINST = 112, 80
 COST = 1000.0
 #: Bounds of the sample of labelled documents that the machine is trained on, for each label.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 1_500, 2_500
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1_200, 2_000
 #: Words with less kernel to every landmark of toxic documents have the floor's margin.
-ACTIVE = 0.35
+ACTIVE = 0.4
 FLOOR = -1.0
 #: Margins below this are not told apart in a document.
 HIGH = -0.25
@@ -163,16 +163,22 @@ def features_of(words: list[str], codes_sorted: np.ndarray, size: int = 500):
         yield out
 
 
-def hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float) -> tuple[np.ndarray, float]:
-    """A linear machine with squared hinge loss, in its primal form by Newton's method. The last column is the bias."""
-    x = np.c_[x, np.ones(len(x))]
-    ridge = np.diag(np.r_[np.full(x.shape[1] - 1, 1 / c), 1e-6 / c])
-    w = np.zeros(x.shape[1])
+def hinge(rows: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float) -> tuple[np.ndarray, float]:
+    """A linear machine on x[rows] with squared hinge loss, in its primal form by Newton's method, and its bias."""
+    n = x.shape[1] + 1
+    ridge = np.diag(np.r_[np.full(n - 1, 1 / c), 1e-6 / c])
+    w = np.zeros(n)
     for _ in range(30):
-        on = 1 - y * (x @ w) > 0
-        xa = x[on] * weight[on, None]
-        new = np.linalg.solve(ridge + xa.T @ x[on], xa.T @ y[on])
-        if np.allclose(new, w, rtol=1e-6, atol=1e-8):
+        left, right = ridge.copy(), np.zeros(n)
+        for k in range(0, len(rows), 4096):  # normal equations by blocks, so memory stays small
+            part = x[rows[k : k + 4096]].astype(np.float64)
+            part = np.c_[part, np.ones(len(part))]
+            on = 1 - y[k : k + 4096] * (part @ w) > 0
+            heavy = part[on] * weight[k : k + 4096][on, None]
+            left += heavy.T @ part[on]
+            right += heavy.T @ y[k : k + 4096][on]
+        new = np.linalg.solve(left, right)
+        if np.allclose(new, w, rtol=1e-5, atol=1e-7):
             break
         w = new
     return w[:-1], float(w[-1])
@@ -201,11 +207,11 @@ def train(texts: list[str], labels: list[int], weights: list[float] | None = Non
     """Train on labelled documents' sentences. With one label only, or no words, every margin is the floor."""
     y = np.array(labels, np.int64)
     weight = np.ones(len(y)) if weights is None else np.array(weights, float)
-    docs = [sentences(t or "") for t in texts]
-    sets = [{w for s in d for w in s if len(w) > 2} for d in docs]
+    same: dict[str, str] = {}  # one object for each word, for memory
+    docs = [[[same.setdefault(w, w) for w in s] for s in sentences(t or "")] for t in texts]
     yes, no = Counter(), Counter()
-    for s, label in zip(sets, y, strict=True):
-        (yes if label else no).update(s)
+    for d, label in zip(docs, y, strict=True):
+        (yes if label else no).update({w for s in d for w in s if len(w) > 2})
     n_yes, n_no = max(1, int(y.sum())), max(1, int((1 - y).sum()))
     prior = (float(weight @ y) + 1) / (weight.sum() + 2)
     nothing = Machine(np.zeros(1, np.uint64), np.zeros(1), FLOOR, np.zeros(1), np.r_[np.log(prior / (1 - prior)), np.zeros(N_FEATURES)])
@@ -236,10 +242,15 @@ def train(texts: list[str], labels: list[int], weights: list[float] | None = Non
     value, vector = np.linalg.eigh(table.T @ table)
     value, vector = value[value > 1e-6], vector[:, value > 1e-6]
     root = vector / np.sqrt(value)  # Nystroem: features k(word, landmarks) @ root
-    phi = np.concatenate([f @ table @ root for f in features_of(active, known)])
+    fold = table @ root
+    phi, at = np.empty((len(active), fold.shape[1]), np.float32), 0
+    for f in features_of(active, known):
+        phi[at : at + len(f)] = f @ fold
+        at += len(f)
     place = {w: k for k, w in enumerate(active)}
     # sentences as lists of active words; a positive sentence's word is the most surely toxic one at first
     bags = [[[place[w] for w in set(s) if w in place] for s in d] for d in docs]
+    del docs, every, near, same
     margin = np.array([surprise.get(w, -1.0) for w in active])
     w, b = np.zeros(root.shape[1]), FLOOR
     for turn in range(rounds):
@@ -250,25 +261,28 @@ def train(texts: list[str], labels: list[int], weights: list[float] | None = Non
                 best = [max(s, key=lambda k: (margin[k], -k)) for s in full]
                 top = max(margin[best])
                 take = [k for k in best if margin[k] >= (0.5 * top if top > 0 else top)]
-                rows += take
-                signs += [1] * len(take)
-                loads += [load / len(take)] * len(take)
+                label = 1
             elif full:
                 # at first all words, then a sentence's most toxic one
                 take = [k for s in full for k in s] if not turn else [max(s, key=lambda k: (margin[k], -k)) for s in full]
-                rows += take
-                signs += [-1] * len(take)
-                loads += [load / len(take)] * len(take)
-        if 1 not in signs or -1 not in signs:
+                label = -1
+            else:
+                continue
+            rows.append(np.array(take))
+            signs.append(np.full(len(take), label, np.int8))
+            loads.append(np.full(len(take), load / len(take)))
+        if not rows:
+            return nothing
+        row, sign, load = np.concatenate(rows), np.concatenate(signs), np.concatenate(loads)
+        if not (sign > 0).any() or not (sign < 0).any():
             return nothing
-        sign, load = np.array(signs), np.array(loads)
         load[sign > 0] *= 0.5 / load[sign > 0].sum()
         load[sign < 0] *= 0.5 / load[sign < 0].sum()
-        key, inverse = np.unique(np.array(rows) * 2 + (sign > 0), return_inverse=True)
-        w, b = hinge(phi[key // 2], np.where(key % 2, 1.0, -1.0), np.bincount(inverse, weights=load), c=COST)
+        key, inverse = np.unique(row * 2 + (sign > 0), return_inverse=True)
+        w, b = hinge(key // 2, phi, np.where(key % 2, 1.0, -1.0), np.bincount(inverse, weights=load), c=COST)
         margin = phi @ w + b
     out = Machine(known, table @ (root @ w), b, most, np.zeros(N_FEATURES + 1))
-    x = out.features([t or "" for t in texts])
+    x = np.concatenate([out.features([t or "" for t in texts[k : k + 200]]) for k in range(0, len(texts), 200)])
     out.logistic = logistic(x, y, weight)
     return out
 
@@ -289,12 +303,12 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", mod: int
     return Machine(m.code, m.weight, m.bias, m.near, m.logistic)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", mod: int = 3, remainder: int = 1, carry: list[str] | None = None) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", mod: int = 3, remainder: int = 1, carry: list[str] | None = None, prefix: str = "") -> DataFrame:
     """One row per document: id_col, held_out, score in (0, 1), predicted (1 if score >= threshold)[, carried columns].
 
     A score depends on the whole text alone. Null counts as empty, and empty texts have a score like any other; ids
-    may repeat or be null (a null id is not held out), other columns of docs are not looked at unless carried. Without
-    labels, or with labels of one kind, all documents get one low score. Scoring is one pass without a shuffle.
+    may repeat or be null (a null id is not held out), other columns of docs are not looked at unless carried; a prefix
+    then keeps the new columns' names apart from theirs. Without labels, or with labels of one kind, all documents get one low score. Scoring is one pass without a shuffle.
     """
     machine = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, label_col, mod, remainder, id_col, text_col))
     kept = list(dict.fromkeys([id_col, *(carry or [])]))
@@ -303,11 +317,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
         for batch in batches:
             text = batch.column(text_col)
             scores = [machine.value.scores([t.as_py() or "" for t in text.slice(k, 256)]) for k in range(0, len(text), 256)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())], names=[*kept, SCORE])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())], names=[*kept, f"{prefix}score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + f", {SCORE} double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + f", `{prefix}score` double"
     out = docs.select(*dict.fromkeys([*kept, text_col])).mapInArrow(run, schema)
-    return out.select(*kept, held_out(F.col(id_col), mod, remainder).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= threshold).cast("int").alias("predicted"))
-
-
-SCORE = "__toxicity_score"
+    score = F.col(f"{prefix}score")
+    return out.select(*kept, held_out(F.col(id_col), mod, remainder).alias(f"{prefix}held_out"), score, (score >= threshold).cast("int").alias(f"{prefix}predicted"))
