@@ -19,8 +19,7 @@ SENTENCES = {
     "apache-as-is": ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
     "gpl3-ref": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"],
     "gpl-redistribute": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "gpl-warranty": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"],
-    "gpl-fitness": ["without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
+    "gpl-warranty": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
     "gpl-details": ["See the GNU General Public License for more details."],
     "bsd-redistribute": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
     "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
@@ -38,8 +37,8 @@ RULES = [
     ("MIT", ("mit-grant", "mit-notice", "mit-disclaimer")),
     ("Apache-2.0", ("apache-ref", "apache-use", "apache-copy", "apache-as-is")),
     ("Apache-2.0", ("apache-use", "apache-copy", "apache-as-is")),
-    ("GPL-3.0-or-later", ("gpl-redistribute", "gpl-warranty", "gpl-fitness", "gpl-details")),
-    ("GPL-3.0-or-later", ("gpl-redistribute", "gpl-warranty", "gpl-fitness")),
+    ("GPL-3.0-or-later", ("gpl-redistribute", "gpl-warranty", "gpl-details")),
+    ("GPL-3.0-or-later", ("gpl-redistribute", "gpl-warranty")),
     ("BSD-3-Clause", ("bsd-redistribute", "bsd-source", "bsd-binary", "bsd-names")),
     ("BSD-2-Clause", ("bsd-redistribute", "bsd-source", "bsd-binary")),
     ("MIT", ("mit-grant", "mit-notice")),
@@ -56,23 +55,69 @@ RULES = [
 ]
 #: Unknown sentences that may stand between two sentences of a rule.
 MAX_GAP = 1
-#: Non-ASCII bytes, ASCII letters and digits make words; line ends end sentences, as do . ! ? ; : before white space.
-_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 or b == 10 else 32 for b in range(256))
-_ENDS = [e + w for e in (b".", b"!", b"?", b";", b":") for w in (b" ", b"\t")]
+#: Non-ASCII bytes, ASCII letters and digits make words; line ends stay. Byte 1 stands for the end of a sentence, byte 2
+#: for a colon or semicolon, which ends one only if a known sentence stands at its side.
+_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 or b in (1, 2, 10) else 32 for b in range(256))
+_ENDS = [(e + w, m + w) for w in (b" ", b"\t", b"\n") for e, m in ((b".", b"\x01"), (b"!", b"\x01"), (b"?", b"\x01"), (b":", b"\x02"), (b";", b"\x02"))]
 
 
-def sentences(text: str | None) -> list[bytes]:
-    """Normalised sentences: lower case, words of letters and digits joined by one space."""
-    raw = (text or "").encode().replace(b"\r", b"\n")
-    for e in _ENDS:
-        if e in raw:
-            raw = raw.replace(e, b"\n")
-    return [s for x in raw.translate(_TABLE).split(b"\n") if (s := b" ".join(x.split()))]
+def _split(line: bytes, table: dict[bytes, str] | None = None) -> list[bytes]:
+    out = []
+    for x in line.split(b"\x01"):
+        if s := b" ".join(x.replace(b"\x02", b" ").split()):
+            parts = [p for y in x.split(b"\x02") if (p := b" ".join(y.split()))] if table and b"\x02" in x and s not in table else []
+            out += parts if any(p in table for p in parts) else [s]
+    return out
+
+
+def sentences(text: str | None, table: dict[bytes, str] | None = None, starts: tuple[bytes, ...] = ()) -> list[bytes]:
+    """Normalised sentences: lower case, words of letters and digits joined by one space.
+
+    A line end ends a sentence, since notices stand on lines of their own. Where lines without a known sentence follow
+    one another, they are also read as one wrapped paragraph, and that reading counts if it has a known sentence.
+    """
+    raw = (text or "").encode().replace(b"\x01", b" ").replace(b"\x02", b" ").replace(b"\r\n", b"\n").replace(b"\r", b"\n")
+    for end, mark in _ENDS:
+        if end in raw:
+            raw = raw.replace(end, mark)
+    flat = raw.translate(_TABLE)
+    lines = flat.split(b"\n")
+    rows = [_split(x, table) for x in lines]
+    if table is None or not any(x in flat for x in starts):
+        return [s for row in rows for s in row]
+    out: list[bytes] = []
+    wrapped: list[int] = []
+
+    def flush():
+        whole = _split(b" ".join(lines[k] for k in wrapped), table)
+        out.extend(whole if any(s in table for s in whole) else (s for k in wrapped for s in rows[k]))
+        wrapped.clear()
+
+    for k, row in enumerate(rows):
+        if row and not any(s in table for s in row):
+            wrapped.append(k)
+        else:
+            flush()
+            out.extend(row)
+    flush()
+    return out
 
 
 def sentence_table(known: dict[str, list[str]]) -> dict[bytes, str]:
-    """Normalised sentence to identifier. A known text that the splitter cuts is known by its last part."""
-    return {sentences(x)[-1]: k for k, v in known.items() for x in v}
+    """Normalised sentence to identifier. A known text must be one sentence, or a part of it could stand for it."""
+    out = {}
+    for name, texts in known.items():
+        for text in texts:
+            parts = sentences(text)
+            if len(parts) != 1:
+                raise ValueError(f"{name}: not one sentence: {text!r}")
+            out[parts[0]] = name
+    return out
+
+
+def first_words(table: dict[bytes, str]) -> tuple[bytes, ...]:
+    """How known sentences begin: their first two words."""
+    return tuple(sorted({b" ".join(s.split()[:2]) for s in table}))
 
 
 def match_rules(found: list[tuple[int, str]], rules: list, max_gap: int) -> list[tuple[str, int, int]]:
@@ -103,12 +148,13 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     and whole, so ids may repeat or be null and other columns may have any name. There is no shuffle.
     """
     table = sentence_table(known)
+    starts = first_words(table)
 
     def run(batches):
         for batch in batches:
             rows = []
             for text in batch.column(1):
-                parts = sentences(text.as_py())
+                parts = sentences(text.as_py(), table, starts)
                 found = [(i, table[s]) for i, s in enumerate(parts) if s in table]
                 hits = match_rules(found, rules, max_gap) if found else []
                 rows.append((len(parts), len(found), list(dict.fromkeys(h[0] for h in hits)), [k for _, k in found], [{"licence": a, "first": b, "last": c} for a, b, c in hits]))
