@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm import exact_dedup
+from weir.llm import exact_dedup, oracles
 from weir.llm.common import table
 from weir.llm.decontamination import decontaminate
 from weir.llm.jaccard_join import jaccard_join
@@ -80,4 +80,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.ORACLE}
+    return {
+        "op4_benchmark_decontamination": oracles.DECONTAMINATION,
+        "op5_jaccard_join": oracles.JACCARD,
+        "op6_substring_dedup": oracles.SUBSTRINGS,
+        "op8_exact_dedup": exact_dedup.ORACLE,
+        "op10_suffix_array_dedup": oracles.SUFFIXES,
+    }
