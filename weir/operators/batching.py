@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weir.sources.storage import stored
+
 BATCH = 8192
 
 
 def numbered(df: DataFrame, order: str, name: str = "n") -> DataFrame:
     """Rows with their place (0, 1, ...) in the order of a column.
 
-    The rows are range-partitioned, numbered inside each partition, and shifted by the sizes of the partitions
-    before; only those sizes (one for each partition) meet in one task. Of equal values the order is any.
+    The rows are range-partitioned and stored, numbered inside each partition, and shifted by the sizes of the
+    partitions before; only those sizes (one for each partition) meet in one task. They are stored since the ranges come
+    from a sample, which a second run of the plan may draw anew. Of equal values the order is any.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, F.col(order).asc_nulls_first()).withColumn("__part", F.spark_partition_id())
+    dealt = stored(df.repartitionByRange(parts, F.col(order).asc_nulls_first()).withColumn("__part", F.spark_partition_id()))
     local = dealt.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(F.col(order).asc_nulls_first())) - 1)
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("__size"))
     before = F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

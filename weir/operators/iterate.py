@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weir.errors import FlowError
-from weir.sources.storage import checkpoint
+from weir.sources.storage import stored
 
 
 @dataclass
@@ -21,12 +21,12 @@ class Rounds:
 
 
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], max_iterations: int = 1000, number: str = "step") -> Rounds:
-    """Apply `step` until it gives no rows. Every round is checkpointed in the shared folder, so plans stay short and a
+    """Apply `step` until it gives no rows. Every round is stored in the shared folder, so plans stay short and a
     lost executor costs no earlier round. A ring that does not shrink is stopped after max_iterations."""
-    frontier = checkpoint(seed)
+    frontier = stored(seed)
     parts = [frontier.withColumn(number, F.lit(0))]
     for k in range(1, max_iterations + 1):
-        frontier = checkpoint(step(frontier))
+        frontier = stored(step(frontier))
         if frontier.isEmpty():
             out = parts[0]
             for p in parts[1:]:
@@ -39,12 +39,12 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], max_iterat
 def closure(edges: DataFrame, max_iterations: int = 1000) -> DataFrame:
     """All pairs (src, dst) that a path of edges joins: reachability as a fixpoint over new pairs only."""
     edges = edges.select("src", "dst").distinct()
-    known = checkpoint(edges)
+    known = stored(edges)
     fresh = known
     for _ in range(max_iterations):
         longer = fresh.alias("a").join(edges.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst").distinct()
-        fresh = checkpoint(longer.join(known, ["src", "dst"], "left_anti"))
+        fresh = stored(longer.join(known, ["src", "dst"], "left_anti"))
         if fresh.isEmpty():
             return known
-        known = checkpoint(known.unionByName(fresh))
+        known = stored(known.unionByName(fresh))
     raise FlowError(f"paths still grow after {max_iterations} rounds")

@@ -16,10 +16,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder, so that the rows survive lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write rows to the shared folder and read them back: lineage is cut, lost executors cost nothing before it, and
+    what is not deterministic (sampled ranges, partition numbers) is settled."""
+    path = staging_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
