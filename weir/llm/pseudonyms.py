@@ -10,7 +10,8 @@ Kinds, tried in this order, and what makes a candidate valid (all else is left a
   phone  +1 (ddd) ddd-dddd, or ddd-ddd-dddd with a space, dot or hyphen between; ten digits permuted
   ssn    ddd-dd-dddd; area 001-665 or 667-899, group 01-99, serial 0001-9999, permuted among the valid ones
   ip     four numbers to 255 joined by dots; permuted among all addresses
-  date   yyyy-mm-dd, dd/mm/yyyy or dd.mm.yyyy that the calendar has, from 1900-03-01 to 2100-02-28; permuted among those days
+  date   yyyy-mm-dd, yyyy/mm/dd, dd/mm/yyyy, dd.mm.yyyy, "March 5, 1999" or "5 March 1999" that the calendar has, from
+         1900-03-01 to 2100-02-28; permuted among those days and written in the same form
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 PHONE = r"(?<![0-9])(?:\+1 ?)?\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}(?![0-9])|(?<![0-9.-])(?:\+1[-. ])?[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
-DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9/.])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9])|(?<![0-9/.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9])"
+MONTH = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
+DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9/])[0-9]{4}/[0-9]{2}/[0-9]{2}(?![0-9/])|(?<![0-9/.])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9])|(?<![0-9/.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9])"
+DATE += rf"|(?<![A-Za-z]){MONTH} [1-9][0-9]?, [0-9]{{4}}(?![0-9])|(?<![0-9])[1-9][0-9]? {MONTH} [0-9]{{4}}(?![0-9])"
 KINDS = ("iban", "card", "phone", "ssn", "ip", "date")
 PATTERN = "|".join((IBAN, DATE, SSN, PHONE, CARD, IP))
 #: Days of the date domain, 1900-03-01 to 2100-02-28: 17 x 4297.
@@ -82,9 +85,11 @@ def pseudonym_sql(key: str) -> tuple[str, str]:
     octet = lambda i: f"CAST(split(m, '[.]')[{i}] AS BIGINT)"
     address = feistel(f"(({octet(0)} * 256 + {octet(1)}) * 256 + {octet(2)}) * 256 + {octet(3)}", 65536, 65536, "ip", key)
     ip = f"element_at(transform(array({address}), x -> concat_ws('.', x DIV 16777216, (x DIV 65536) % 256, (x DIV 256) % 256, x % 256)), 1)"
-    day = f"CASE WHEN m LIKE '____-%' THEN try_to_date(m, 'yyyy-MM-dd') WHEN m LIKE '%/%' THEN try_to_date(m, 'dd/MM/yyyy') ELSE try_to_date(m, 'dd.MM.yyyy') END"
+    forms = (("^[0-9]{4}-", "yyyy-MM-dd"), ("^[0-9]{4}/", "yyyy/MM/dd"), ("/", "dd/MM/yyyy"), ("^[A-Z]", "MMMM d, yyyy"), (" ", "d MMMM yyyy"), (".", "dd.MM.yyyy"))
+    form = "CASE " + " ".join(f"WHEN m RLIKE {_sql(p)} THEN '{f}'" for p, f in forms) + " END"
+    day = "CASE " + " ".join(f"WHEN m RLIKE {_sql(p)} THEN try_to_date(m, '{f}')" for p, f in forms) + " END"
     moved = f"date_add(DATE'{FIRST_DAY}', CAST({feistel(f'CAST(datediff({day}, DATE{chr(39)}{FIRST_DAY}{chr(39)}) AS BIGINT)', DAYS_A, DAYS_B, 'date', key)} AS INT))"
-    date = f"element_at(transform(array({moved}), x -> date_format(x, CASE WHEN m LIKE '____-%' THEN 'yyyy-MM-dd' WHEN m LIKE '%/%' THEN 'dd/MM/yyyy' ELSE 'dd.MM.yyyy' END)), 1)"
+    date = f"element_at(transform(array({moved}), x -> date_format(x, {form})), 1)"
     # iban: digits after the two check digits, as far as the last 16 of them
     mod97 = lambda x: f"CAST(CAST({x} AS DECIMAL(38, 0)) % 97 AS INT)"
     code = lambda x: f"CAST(ascii(substring({x}, 1, 1)) - 55 AS STRING), CAST(ascii(substring({x}, 2, 1)) - 55 AS STRING)"
@@ -117,7 +122,7 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     found: Column = F.expr(f"transform(regexp_extract_all(t, {_sql('(' + PATTERN + ')')}, 1), m -> struct(m, {kind} AS kind))")
     # a text without a digit, or without a candidate, is passed on as it is
-    rows = rows.withColumn("found", F.when(t.rlike("[0-9][0-9 ./()-]{6}"), found))
+    rows = rows.withColumn("found", F.when(t.rlike("[0-9][0-9 ./()-]{6}|[a-z] [0-9]{1,2}, [0-9]{4}|[0-9] [A-Z][a-z]{2,8} [0-9]{4}"), found))
     rows = rows.withColumn("some", F.coalesce(F.exists("found", lambda x: x["kind"].isNotNull()), F.lit(False)))
     put = F.expr(f"transform(found, x -> element_at(transform(array(x), y -> element_at(transform(array(y.m), (m, z) -> element_at(transform(array(y.kind), kind -> {new}), 1)), 1)), 1))")
     gaps = F.expr(f"split(t, {_sql(PATTERN)}, -1)")
