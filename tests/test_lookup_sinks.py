@@ -136,3 +136,14 @@ def test_sources(spark):
     assert post(spark, (1,), "v int").count() == 1
     both = tagged(a=rows(spark, [(1,)], "v int"), b=rows(spark, [("x",)], "s string"))
     assert sorted((r.src, r.v, r.s) for r in both.collect()) == [("a", 1, None), ("b", None, "x")]
+
+
+def test_a_null_in_the_dimension_is_no_fault(spark):
+    d = rows(spark, [(1, "3"), (2, None)], "id bigint, key string")
+    out = Lookup("p", "key", "id").run(rows(spark, [("3",), ("4",)], "p string"), d)
+    assert sorted((r.p, r.id) for r in out.joined.collect()) == [("3", 1), ("4", 3)]
+    local = Lookup("p", "key", "id", strategy=Strategy.LOCAL)
+    assert local.run(rows(spark, [("3",)], "p string"), d).joined.count() == 1
+    for act in (lambda r: r.joined.count(), lambda r: r.discarded.count()):
+        with pytest.raises(Exception, match="lookup key is null"):
+            act(local.run(rows(spark, [("3",), (None,)], "p string"), d))

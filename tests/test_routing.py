@@ -112,3 +112,15 @@ def test_stages(spark):
     assert consume(lambda d: None, "sink").__name__ == "sink"
     with pytest.raises(ValueError):
         merge()
+
+
+def test_filters_reach_the_scan(spark, capsys):
+    from tests.conftest import SF
+    from weir.plans import catalogue
+
+    for name, pushed in (("link_predicate", "GreaterThan(o_totalprice"), ("match_exact", "EqualTo(event_type,click"), ("match_begins_with", "StringStartsWith(p_name,small"), ("link_subtype", "EqualTo(event_type,purchase")):
+        capsys.readouterr()
+        catalogue.queries()[name](spark, SF).explain("formatted")
+        text = capsys.readouterr().out
+        line = next(x for x in text.split("\n") if x.startswith("PushedFilters"))
+        assert pushed in line, (name, line)

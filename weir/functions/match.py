@@ -36,9 +36,14 @@ def url_without_param(url: Column | str) -> Column:
 class Condition:
     """A predicate on one value."""
 
-    def matches(self, value: Column | str) -> Column:
+    def test(self, value: Column | str) -> Column:
+        """The predicate, null for a null value: for filters, which take null for false and push it down to the scan."""
         raise NotImplementedError
 
+    def matches(self, value: Column | str) -> Column:
+        """The predicate with two values: false for a null value."""
+        return F.coalesce(self.test(value), F.lit(False))
+
     def leaves(self) -> list[Condition]:
         """The conditions that can be the exact one to hit, in order."""
         return [self]
@@ -54,7 +59,7 @@ class Condition:
 class Nothing(Condition):
     """Matches no value."""
 
-    def matches(self, value: Column | str) -> Column:
+    def test(self, value: Column | str) -> Column:
         return F.lit(False)
 
 
@@ -70,8 +75,8 @@ class Text(Condition):
         if self.pattern is None:
             raise TypeError("a pattern is needed")
 
-    def matches(self, value: Column | str) -> Column:
-        return F.coalesce(_compare(_col(value), self.pattern, self.kind), F.lit(False))
+    def test(self, value: Column | str) -> Column:
+        return _compare(_col(value), self.pattern, self.kind)
 
 
 @dataclass(frozen=True)
@@ -85,11 +90,11 @@ class Url(Condition):
         if self.pattern is None:
             raise TypeError("a pattern is needed")
 
-    def matches(self, value: Column | str) -> Column:
+    def test(self, value: Column | str) -> Column:
         v = url_without_param(value) if self.exclude_param else _col(value)
         if self.ignore_case and self.kind != MatchKind.REGEX:
-            return F.coalesce(_compare(F.upper(v), self.pattern.upper(), self.kind), F.lit(False))
-        return F.coalesce(_compare(v, self.pattern, self.kind), F.lit(False))
+            return _compare(F.upper(v), self.pattern.upper(), self.kind)
+        return _compare(v, self.pattern, self.kind)
 
 
 @dataclass(frozen=True)
@@ -98,8 +103,8 @@ class AnyOf(Condition):
 
     conditions: Sequence[Condition]
 
-    def matches(self, value: Column | str) -> Column:
-        return reduce(lambda a, b: a | b, [c.matches(value) for c in self.conditions], F.lit(False))
+    def test(self, value: Column | str) -> Column:
+        return reduce(lambda a, b: a | b, [c.test(value) for c in self.conditions]) if self.conditions else F.lit(False)
 
     def leaves(self) -> list[Condition]:
         return [x for c in self.conditions for x in c.leaves()]

@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weir.operators.batching import numbered
-from weir.operators.router import fail_on_rows
 from weir.operators.stage import holds
 
 _PATH = re.compile(r"[^\W\d]\w*(\.[^\W\d]\w*)*")
+_KEY = "__fact_key"
 #: Rows of a dimension that a warm cache holds at most.
 CACHE_ROWS = 1 << 20
 #: Bytes, measured by the planner, up to which a dimension is broadcast; beyond it both sides are shuffled.
@@ -70,8 +70,13 @@ class Lookup:
         self.attributes = {k: F.expr(v) if isinstance(v, str) else v for k, v in (attributes or {}).items()}
         self.order, self.strategy, self.unique_check = order, strategy, unique_check
 
-    def checked(self, facts: DataFrame) -> DataFrame:
-        return fail_on_rows(facts, F.col(self.key).isNull(), "a lookup key is null")
+    def keyed(self, facts: DataFrame) -> DataFrame:
+        """The facts with their key as a column of its own, which fails on null when it is joined or grouped on.
+
+        A filter would do so too, but the planner copies filters on a join's key to the other side, where a null is fine.
+        """
+        kind = facts.select(F.col(self.key)).schema[0].dataType
+        return facts.withColumn(_KEY, F.coalesce(F.col(self.key), F.raise_error(F.lit("a lookup key is null")).cast(kind)))
 
     def check_dimension(self, dim: DataFrame) -> None:
         if self.unique_check and not dim.groupBy(self.dim_key).count().filter("count > 1").isEmpty():
@@ -79,7 +84,7 @@ class Lookup:
 
     def missing(self, facts: DataFrame, dim: DataFrame) -> DataFrame:
         """One row for each key that the dimension lacks: the key and the attributes."""
-        rows = self.checked(facts).select(F.col(self.key).alias(self.dim_key), *(e.alias(k) for k, e in self.attributes.items()), *([F.col(self.order).alias("__order")] if self.order else []))
+        rows = self.keyed(facts).select(F.col(_KEY).alias(self.dim_key), *(e.alias(k) for k, e in self.attributes.items()), *([F.col(self.order).alias("__order")] if self.order else []))
         names = list(self.attributes)
         if names:  # aggregated in the map tasks, so a hot key is a row for each of them
             pick = F.struct(*names)
@@ -100,7 +105,6 @@ class Lookup:
         if self.strategy is Strategy.NO_LOOKUP:
             return LookupResult(facts, dim, none, facts.limit(0))
         self.check_dimension(dim)
-        facts = self.checked(facts)
         if self.strategy is Strategy.LOCAL:
             return LookupResult(self._join(facts, dim, on_found), dim, none, self.unmatched(facts, dim))
         new = self.new_rows(facts, dim)
@@ -109,11 +113,11 @@ class Lookup:
 
     def unmatched(self, facts: DataFrame, dim: DataFrame) -> DataFrame:
         k = dim.select(F.col(self.dim_key).alias("__k"))
-        return facts.join(sized(k), F.col(self.key) == F.col("__k"), "left_anti")
+        return self.keyed(facts).join(sized(k), F.col(_KEY) == F.col("__k"), "left_anti").drop(_KEY)
 
     def _join(self, facts: DataFrame, dim: DataFrame, on_found) -> DataFrame:
         side = dim.select(F.col(self.dim_key).alias("__k"), *(F.col(c) for c in dim.columns if c != self.dim_key and c not in facts.columns))
-        joined = facts.join(sized(side), F.col(self.key) == F.col("__k")).drop("__k")
+        joined = self.keyed(facts).join(sized(side), F.col(_KEY) == F.col("__k")).drop("__k", _KEY)
         return on_found(joined) if on_found else joined
 
 

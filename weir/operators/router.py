@@ -21,6 +21,8 @@ class Branch:
     name: str
     predicate: Column
     transform: Transform | None = None
+    bare: Column | None = None
+    """The predicate as it was given, null or not: a filter on it can be pushed down to the scan."""
 
 
 class Router:
@@ -52,7 +54,7 @@ class Router:
 
     def match_link(self, condition, column: Column | str, transform: Transform | None = None, name: str | None = None) -> Router:
         """Rows that a match condition accepts on a column."""
-        return self._add(condition.matches(column), transform, name)
+        return self._add(condition.test(column), transform, name)
 
     def _add(self, predicate, transform, name) -> Router:
         if not self._open:
@@ -60,7 +62,8 @@ class Router:
         name = name or f"link{len(self._links)}"
         if name == LEFT or any(b.name == name for b in self._links):
             raise RoutingError(f"there is a link named {name!r} already")
-        self._links.append(Branch(name, F.lit(True) if predicate is None else holds(predicate), transform))
+        bare = F.lit(True) if predicate is None else F.expr(predicate) if isinstance(predicate, str) else predicate
+        self._links.append(Branch(name, holds(bare), transform, bare))
         return self
 
     # ---- what is left
@@ -109,12 +112,12 @@ class Router:
         self._complete()
         if name == self._left and name not in ("null", "error"):
             return self.df.filter(self.left())
-        taken = F.lit(False)
+        rows = self._checked()
         for b in self._links:
             if b.name == name:
-                rows = self._checked().filter(b.predicate & ~taken)
+                rows = rows.filter(b.bare)
                 return rows.transform(b.transform) if b.transform else rows
-            taken = taken | b.predicate
+            rows = rows.filter(~b.predicate)
         raise RoutingError(f"no link is named {name!r}")
 
     def branches(self) -> dict[str, DataFrame]:
@@ -134,5 +137,9 @@ class Router:
 
 
 def fail_on_rows(df: DataFrame, bad: Column, message: str = "a row was left that no link takes") -> DataFrame:
-    """The same rows, but an action fails on a bad one. It is a filter, since column pruning removes a projection."""
-    return df.filter(F.assert_true(~holds(bad), F.lit(message)).isNull())
+    """The same rows, but an action fails on a bad one.
+
+    It is a filter, since column pruning removes a projection that nothing reads. The second condition is always true
+    and not deterministic: so no later filter is moved before this one, and every row that an earlier one kept is checked.
+    """
+    return df.filter(F.assert_true(~holds(bad), F.lit(message)).isNull() & (F.monotonically_increasing_id() >= 0))

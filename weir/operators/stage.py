@@ -62,7 +62,9 @@ def flat_map(items: Column | str, alias: str = "value", keep: Iterable[str] = ()
 
 
 def filtered(predicate: Column | str, name: str = "filter") -> Stage:
-    return Stage(name, lambda df: df.filter(holds(predicate)))
+    """Rows for which the predicate holds. A filter takes null for false by itself, so the bare predicate can be pushed
+    down to the scan."""
+    return Stage(name, lambda df: df.filter(_expr(predicate)))
 
 
 def from_batches(fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, name: str | None = None) -> Stage:

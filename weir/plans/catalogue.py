@@ -180,12 +180,12 @@ def distinct_first_by_key(spark, sf_dir):
 
 
 def _parts(spark, sf_dir, condition: match.Condition, *columns: str) -> DataFrame:
-    return filtered(condition.matches("p_name"))(table(spark, sf_dir, "part")).select("p_partkey", *columns)
+    return filtered(condition.test("p_name"))(table(spark, sf_dir, "part")).select("p_partkey", *columns)
 
 
 @query("SELECT event_id FROM events WHERE event_type = 'click'")
 def match_exact(spark, sf_dir):
-    return filtered(match.exact("click").matches("event_type"))(table(spark, sf_dir, "events")).select("event_id")
+    return filtered(match.exact("click").test("event_type"))(table(spark, sf_dir, "events")).select("event_id")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'small%'")
@@ -249,7 +249,7 @@ def url_without_param(spark, sf_dir):
 @query("SELECT page_id FROM pages WHERE lower(regexp_extract(trim(url), '^[^?#]*', 0)) LIKE '%/en/%'")
 def url_match_exclude_param(spark, sf_dir):
     condition = match.Url("/EN/", match.MatchKind.CONTAINS, exclude_param=True)
-    return filtered(condition.matches("url"))(table(spark, sf_dir, "pages")).select("page_id")
+    return filtered(condition.test("url"))(table(spark, sf_dir, "pages")).select("page_id")
 
 
 # ---- mapping

@@ -198,9 +198,10 @@ class Flow:
                         done.add(id(c))
                         self.results[c.name] = f.result()
                     elif error is None:
-                        error = e
+                        # a job that a cancelled flow stopped fails too, but is not the cause
+                        error = self.error if self._cancelled.is_set() and self.error is not None else e
                         self.failures[c.name] = e
-                        self.cancel(e)
+                        self.cancel(error)
                     else:
                         sibling = (SiblingCancelledError if isinstance(error, FlowCancelledError) else SiblingFailedError)(f"{c.name} was stopped")
                         sibling.__cause__ = e

@@ -120,6 +120,6 @@ class LookupStream:
                     delete(spark, path)
                 added.select(*dim.columns).write.parquet(path)
             full = dim.unionByName(added, allowMissingColumns=True)
-            self.sink(self.lookup._join(self.lookup.checked(rows), full, None), number)
+            self.sink(self.lookup._join(rows, full, None), number)
         finally:
             rows.unpersist()
