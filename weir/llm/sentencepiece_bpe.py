@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Words and parts of words that a worker remembers, after which it starts anew. This bounds memory only.
-CACHE_WORDS = 600_000
-CACHE_PAIRS = 1_000_000
+CACHE_WORDS = 300_000
+CACHE_PAIRS = 300_000
 
 
 class Encoder:

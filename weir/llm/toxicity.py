@@ -12,6 +12,7 @@ sentences' margins.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -27,14 +28,14 @@ DECAY, MAX_SPAN = 0.6, 6
 LANDMARKS_FOR, LANDMARKS_AGAINST = 112, 80
 COST = 1000.0
 #: Bounds of the sample of labelled documents that the machine is trained on, for each label.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 1_200, 2_000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1_000, 1_500
 #: Words with less kernel to every landmark of toxic documents have the floor's margin.
 ACTIVE = 0.4
 FLOOR = -1.0
 #: Margins below this are not told apart in a document.
 HIGH = -0.25
 #: Words a worker remembers; bounds memory only.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 _SENTENCE = re.compile(r"[.!?]+\s|\n")
 _SPACED = re.compile(r"(?<!\S)[^\W\d_](?:[ ]+[^\W\d_](?!\S)){2,}")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -293,14 +294,23 @@ THRESHOLD = 0.7
 
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", mod: int = 3, remainder: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Machine:
-    """Train on a bounded sample of the labels that are not held out, weighted to the proportion of all of them."""
+    """Train on a bounded sample of the labels that are not held out, weighted to the proportion of all of them.
+
+    The sample is small by its bounds, so one task trains on it; only the machine comes to the driver.
+    """
     sample, counts = labelled_sample(docs, labels, label_col, mod, remainder, (SAMPLE_CLEAN, SAMPLE_TOXIC), TRAIN_BYTES, id_col, text_col)
-    rows = sorted(tuple(r) for r in sample.select("id", "label", "text").collect())
-    got = Counter(r[1] for r in rows)
-    scale = {k: counts[k] / got[k] for k in got}
-    norm = len(rows) / sum(scale[r[1]] for r in rows) if rows else 1.0
-    m = train([r[2] for r in rows], [r[1] for r in rows], [scale[r[1]] * norm for r in rows])
-    return Machine(m.code, m.weight, m.bias, m.near, m.logistic)
+
+    def fit(batches):
+        rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("id", "label", "text")), strict=True))
+        got = Counter(r[1] for r in rows)
+        scale = {k: counts[k] / got[k] for k in got}
+        norm = len(rows) / sum(scale[r[1]] for r in rows) if rows else 1.0
+        m = train([r[2] for r in rows], [r[1] for r in rows], [scale[r[1]] * norm for r in rows])
+        m = Machine(m.code, m.weight, m.bias, m.near, m.logistic)  # without what it has remembered
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(m)], pa.binary())], names=["machine"])
+
+    found = sample.repartition(1).mapInArrow(fit, "machine binary").collect()
+    return pickle.loads(found[0].machine) if found else train([], [])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", mod: int = 3, remainder: int = 1, carry: list[str] | None = None, prefix: str = "") -> DataFrame:
