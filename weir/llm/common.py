@@ -35,20 +35,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or "/tmp/checkpoints")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder; survives lost executors, unlike localCheckpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
     return os.path.join(spark.sparkContext._jsc.sc().getCheckpointDir().get(), f"{name}-{uuid.uuid4().hex}")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back."""
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage is cut, and lost executors cost nothing before it.
+
+    A DataFrame's checkpoint() would run its last stage twice, once to count and once to write.
+    """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

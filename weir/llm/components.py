@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.common import checkpoint
+from weir.llm.common import stored
 
 
 def _stars(edges: DataFrame, low: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     Minima are pre-aggregated before each shuffle; the joins that follow are of kinds that AQE can split.
     """
     e = edges.filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e, before = checkpoint(e), None
+    e, before = stored(e), None
     while True:
         # large star: every larger neighbour is tied to the least of a node's neighbourhood
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: smaller neighbours are tied to the least of them
         low = e.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
         tied = _stars(e, low).filter("e.v <> l.m").select(F.col("e.v").alias("u"), F.col("l.m").alias("v"))
-        e = checkpoint(tied.unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct())
+        e = stored(tied.unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct())
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             break

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.common import ascii_lower, checkpoint
+from weir.llm.common import ascii_lower, stored
 
 #: Characters of a text that the second step hashes.
 PREFIX_CHARS = 256
@@ -32,7 +32,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(id_col).alias("id"), F.octet_length(text).alias("n"), F.xxhash64(ascii_lower(F.substring(text, 1, prefix_chars))).alias("p"),
         *([full_of(text)] if digest else []),
     )
-    rows = checkpoint(rows.withColumn("row", F.monotonically_increasing_id()))
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))
     # every count is taken before its shuffle, so a hot length or group is a row for each task from here on
     lengths = rows.groupBy("n").agg(F.count("*").alias("c")).filter("c > 1").select("n")
     prefixes = rows.groupBy("n", "p").agg(F.count("*").alias("c")).filter("c > 1").select("n", "p").join(lengths, "n", "left_semi")
@@ -40,7 +40,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         again = docs.select(F.octet_length(text).alias("n"), F.xxhash64(ascii_lower(F.substring(text, 1, prefix_chars))).alias("p"), F.col(id_col).alias("id"), text.alias("t"))
         hashed = again.join(prefixes, ["n", "p"], "left_semi").select("id", "n", "p", full_of("t"))
         singles = rows.join(prefixes, ["n", "p"], "left_anti")
-        hashed = checkpoint(hashed.withColumn("row", F.monotonically_increasing_id()))
+        hashed = stored(hashed.withColumn("row", F.monotonically_increasing_id()))
         rows = singles.withColumn("h", F.lit(None).cast("binary")).select("id", "n", "p", "h", "row").unionByName(hashed)
     groups = rows.filter("h IS NOT NULL").groupBy("n", "p", "h").agg(F.count("*").alias("size"), F.max(F.struct("id", "row")).alias("top"))
     groups = groups.join(prefixes, ["n", "p"], "left_semi").filter("size > 1")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weir.llm.blobs import Chunk, Keys, chunked, layout
-from weir.llm.common import LOWER, U64, checkpoint, mix, slices, stored, stream, word_hashes, words
+from weir.llm.common import LOWER, U64, mix, slices, stored, stream, word_hashes, words
 from weir.llm.components import components
 
 WIDTH = 4
@@ -155,9 +155,9 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int]
             "n": pa.array(n, pa.int64()), "node": pa.array([fingerprint(x) if len(x) else None for x in c.sets], pa.binary()),
         })
 
-    members = checkpoint(source.groupBy("chunk").applyInArrow(describe, "id bigint, chunk int, row int, n bigint, node binary"))
+    members = stored(source.groupBy("chunk").applyInArrow(describe, "id bigint, chunk int, row int, n bigint, node binary"))
     classes = members.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.min(F.struct("chunk", "row")).alias("at"))
-    chosen = checkpoint(classes.select("node", "id", "at.chunk", "at.row"))
+    chosen = stored(classes.select("node", "id", "at.chunk", "at.row"))
     reps = chosen.select("chunk", F.col("row").alias("bucket"), F.lit(None).cast("binary").alias("bits"))
 
     def picked(c: Shingles, rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +221,7 @@ def _linked(table: DataFrame, num: int, den: int) -> DataFrame:
     posts = groups.select(F.posexplode("prefix").alias("pos", "token"), "grp", "rep", "n", "own").withColumn("pos", F.col("pos") + F.col("own")).drop("own")
     # a shingle in one group only has nothing to join
     shared = posts.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-    posts = checkpoint(posts.join(shared, "token", "left_semi"))
+    posts = stored(posts.join(shared, "token", "left_semi"))
     # sizes allow the threshold; and at the first shingle in common, what follows on either side still does
     fits = f"{den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) AND {num + den} * least(x.n - x.pos, y.n - y.pos) >= {num} * (x.n + y.n)"
 
@@ -237,18 +237,18 @@ def _linked(table: DataFrame, num: int, den: int) -> DataFrame:
         heads = inner.groupBy("grp").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(k))).alias("p"), F.count("*").alias("c")).filter("c > 1").select("grp", "p.*")
         inner = inner.alias("x").join(heads.alias("y"), "grp").filter("x.root <> y.root").select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
         found = verified(_distinct(pairs.unionByName(inner)), sets, num, den)
-        edges = checkpoint(found if edges is None else edges.unionByName(found))
+        edges = stored(found if edges is None else edges.unionByName(found))
         roots = components(edges)
 
     # What is left, exactly. A unit is a group that is in one component, or else each of its members.
-    placed = checkpoint(_rooted(nodes, roots))
+    placed = stored(_rooted(nodes, roots))
     span = placed.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     whole = span.filter("low = high").select("grp", F.col("low").alias("root"), F.col("grp").alias("unit"))
     torn = placed.join(span.filter("low <> high").select("grp"), "grp", "left_semi").select("grp", "root", F.col("node").alias("unit"))
     units = posts.select("token", "grp", "n", "pos").join(whole.unionByName(torn), "grp").select("token", "unit", "n", "pos", "root")
     sizes = units.groupBy("token", "root").agg(F.count("*").alias("c"))
     split = sizes.groupBy("token").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("main")).filter("roots > 1").select("token", "main")
-    open_ = checkpoint(units.join(split, "token"))
+    open_ = stored(units.join(split, "token"))
     rest = open_.filter("root <> main")
     close = rest.alias("x").join(open_.alias("y"), "token").filter(f"x.root <> y.root AND (y.root = y.main OR x.unit < y.unit) AND {fits}")
     pairs = close.select(F.col("x.unit").alias("a"), F.col("y.unit").alias("b")).distinct()
@@ -257,7 +257,7 @@ def _linked(table: DataFrame, num: int, den: int) -> DataFrame:
     t = torn.alias("x")
     inside = t.join(torn.alias("y"), "grp").filter("x.root <> y.root AND x.unit < y.unit").select(F.col("x.unit").alias("u"), F.col("y.unit").alias("v"))
     found = verified(_distinct(pairs.unionByName(inside)), sets, num, den)
-    return components(checkpoint(edges.unionByName(found)))
+    return components(stored(edges.unionByName(found)))
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
