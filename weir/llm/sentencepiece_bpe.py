@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Words and parts of words that a worker remembers, after which it starts anew. This bounds memory only.
-CACHE_WORDS = 300_000
-CACHE_PAIRS = 300_000
+#: Words and parts of words that a worker remembers in one generation, and pairs. This bounds memory only: a full
+#: generation becomes the old one, whose words are taken over when they come again, and the one before it goes.
+CACHE_WORDS = 250_000
+CACHE_PAIRS = 600_000
 
 
 class Encoder:
@@ -53,6 +54,8 @@ class Encoder:
         self.whole: dict[int, bool] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
         self.words: dict[str, tuple[str, int, str]] = {}
+        self.old_parts: dict[str, tuple[int, ...]] = {}
+        self.old_words: dict[str, tuple[str, int, str]] = {}
 
     def merged(self, text: str) -> list[int]:
         """BPE by its definition: merge the adjacent pair of the best score, the leftmost of equal ones."""
@@ -131,9 +134,10 @@ class Encoder:
                 continue
             known = self.parts.get(part)
             if known is None:
+                known = self.old_parts.get(part) or self.part(part)
                 if len(self.parts) >= CACHE_WORDS:
-                    self.parts.clear()
-                known = self.parts[part] = self.part(part)
+                    self.old_parts, self.parts = self.parts, {}
+                self.parts[part] = known
             ids.extend(known)
         return ids
 
@@ -163,6 +167,11 @@ class Encoder:
             ids.extend(self.encode_unit(unit))
         return ids
 
+    def _row(self, unit: str) -> tuple[str, int, str]:
+        ids = self.encode_unit(SPACE + unit)
+        back = self._decode(ids)
+        return ",".join(map(str, ids)), len(ids), unit if back == " " + unit else back[1:]
+
     def digest(self, text: str) -> tuple[int, str, str]:
         """(number of ids, the ids as text joined by commas, the text decoded from them)."""
         if not text:
@@ -171,12 +180,11 @@ class Encoder:
         for unit in text.split(" ") if SPACE not in text and "  " not in text and text[0] != " " and text[-1] != " " else (u[1:] for u in units(text)):
             row = known.get(unit)
             if row is None:
+                row = self.old_words.get(unit) or self._row(unit)
                 if len(known) >= CACHE_WORDS:
-                    known.clear()
-                ids = self.encode_unit(SPACE + unit)
-                back = self._decode(ids)
-                same = " " + unit
-                row = known[unit] = (",".join(map(str, ids)), len(ids), same[1:] if back == same else back[1:])
+                    self.old_words, self.words = known, {}
+                    known = self.words
+                known[unit] = row
             rows.append(row)
         return sum([r[1] for r in rows]), ",".join([r[0] for r in rows]), " ".join([r[2] for r in rows])
 
