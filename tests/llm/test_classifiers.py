@@ -52,6 +52,20 @@ def test_gapped_insults():
     assert toxicity.codes(words)[0].shape[0] == len(words) and m.margins(words)[0] > 0
 
 
+def test_all_letters_of_a_token_are_read():
+    clean = ["the weather in the north was fine today and the people walked", "a long list of names and places that nobody reads", "we had bread and soup for dinner in the old house"] * 12
+    bad = ["you are a stupid idiot and everyone knows it", "what an idiot this stupid person is today", "such a stupid plan from an idiot again"] * 8
+    m = toxicity.train(clean + bad, [0] * len(clean) + [1] * len(bad))
+    long = "weatherinthenorthpeoplewalked" * 3  # more letters than any window
+    insults = "idiotstupid" * 20
+    joined = [c.join(["bread", "soup", "weather", "people", "walked", "dinner", "house", "north", "names", "places", "nobody", "reads", "today", "idiot", "stupid"]) for c in ",/_-|"]
+    s = m.scores([long + insults, long + insults + long, *joined, long, long + "," + long])
+    assert (s[:-2] > 0.5).all() and (s[-2:] < 0.5).all()
+    assert all(len(x) <= toxicity.WINDOW for w in (long, "ab" * 40, "x" * 33) for x in toxicity.windows(w))
+    word = "".join(chr(200 + k) for k in range(300))
+    assert all(any(word[k : k + toxicity.STRIDE + 1] in x for x in toxicity.windows(word)) for k in range(300 - toxicity.STRIDE))
+
+
 def test_kernel_is_the_sum_over_subsequences():
     def plain(a, b):
         def seqs(w):

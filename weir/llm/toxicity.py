@@ -16,6 +16,7 @@ import pickle
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ ACTIVE = 0.4
 FLOOR = -1.0
 #: Margins below this are not told apart in a document.
 HIGH = -0.25
+#: Longer words are read in windows of so many letters, STRIDE apart, so any STRIDE + 1 letters stand in one of them.
+WINDOW, STRIDE = 32, 16
 #: Words a worker remembers; bounds memory only.
 CACHE_WORDS = 300_000
 _SENTENCE = re.compile(r"[.!?]+\s|\n")
@@ -55,14 +58,25 @@ def tokens(text: str) -> list[str]:
     return found
 
 
+def parts(token: str) -> list[str]:
+    """What non-letters part in a token, from three letters on, if that is not the token's letters as they are."""
+    found = [] if token.isalpha() else [w for w in _NOT_LETTER.split(token) if w]
+    return [w for w in found if len(w) > 2] if len(found) > 1 else []
+
+
+def windows(word: str) -> list[str]:
+    """The word, or a long one's overlapping pieces: together they have all its letters."""
+    return [word] if len(word) <= WINDOW else [word[k : k + WINDOW] for k in range(0, len(word) - WINDOW + STRIDE, STRIDE)]
+
+
 def sentences(text: str) -> list[list[str]]:
-    """Words of each sentence, letters only."""
-    return [[letters(w) for w in tokens(part)] for part in _SENTENCE.split(text) if part.strip()]
+    """Words of each sentence, letters only: tokens read as one word and by their parts, long words by windows."""
+    return [[x for t in tokens(part) for w in (letters(t), *parts(t)) for x in windows(w)] for part in _SENTENCE.split(text) if part.strip()]
 
 
 def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(codes, weights) of the subsequences of each word, padded with code 0 and weight 0; weights are normed."""
-    words = [f"^{w[:64]}$" for w in words]  # a word of over 64 letters is compared by its start
+    words = [f"^{w}$" for w in words]
     n = np.array([len(w) for w in words])
     width = int(n.max()) if len(n) else 0
     chars = np.array(words, dtype=f"<U{max(width, 1)}").view(np.uint32).reshape(len(words), -1).astype(np.uint64)
@@ -91,17 +105,21 @@ class Machine:
     logistic: np.ndarray
 
     def __post_init__(self):
-        self.memory: dict[str, float] = {}
+        self.memory: dict[str, tuple[float, ...]] = {}
         self.slots = None
 
     def _slot(self, code: np.ndarray) -> np.ndarray:
         return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
 
     def margins(self, words: list[str]) -> np.ndarray:
+        """Margins of words of letters; a long word has that of its most toxic window."""
         if self.slots is None:
             self.slots = np.full(_SLOTS, -1, np.int32)
             order = np.argsort(np.abs(self.weight), kind="stable")  # of two in a slot the heavier stays
             self.slots[self._slot(self.code[order])] = order
+        pieces = [windows(w) for w in words]
+        first = np.cumsum([0, *map(len, pieces)])[:-1]
+        words = [x for p in pieces for x in p]
         order = np.argsort([len(w) for w in words], kind="stable") if words else np.zeros(0, np.int64)
         result = np.full(len(words), FLOOR)
         for k in range(0, len(words), 2000):
@@ -115,22 +133,35 @@ class Machine:
             margin = (x * self.weight[at]).sum(1) + self.bias
             near = (x * self.near[at]).sum(1)
             result[part] = np.where(near >= ACTIVE, np.maximum(margin, FLOOR), FLOOR)
-        return result
+        return np.maximum.reduceat(result, first) if len(pieces) else result
+
+    def learn(self, words: set[str]) -> dict[str, tuple[float, ...]]:
+        """Margins by word as it stands in a text; the words asked for are in it.
 
-    def learn(self, words: set[str]) -> dict[str, float]:
-        """Margins by word as it stands in a text; the words asked for are in it."""
+        Of a word with parts there is a margin for each part, and that of all its letters as one word stands in the
+        place of the greatest, if it is greater.
+        """
         new = [w for w in words if w not in self.memory]
         if new:
             if len(self.memory) + len(new) > CACHE_WORDS:
                 self.memory.clear()
                 new = list(words)
-            self.memory.update(zip(new, self.margins([letters(w) for w in new]).tolist(), strict=True))
+            split = [parts(w) for w in new]
+            got = self.margins([x for w, p in zip(new, split, strict=True) for x in (letters(w), *p)]).tolist()
+            at = 0
+            for w, p in zip(new, split, strict=True):
+                whole, rest = got[at], got[at + 1 : at + 1 + len(p)]
+                at += 1 + len(p)
+                if rest:
+                    worst = max(range(len(rest)), key=rest.__getitem__)
+                    rest[worst] = max(rest[worst], whole)
+                self.memory[w] = tuple(rest) or (whole,)
         return self.memory
 
     def features(self, texts: list[str]) -> np.ndarray:
         lists = [tokens(t) for t in texts]
         known = self.learn(set().union(*lists)).__getitem__
-        return np.array([pooled(list(map(known, x))) for x in lists]).reshape(len(texts), N_FEATURES)
+        return np.array([pooled(list(chain.from_iterable(map(known, x)))) for x in lists]).reshape(len(texts), N_FEATURES)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(np.c_[np.ones(len(texts)), self.features(texts)] @ self.logistic, -30, 30)))
