@@ -136,3 +136,26 @@ def test_edges(spark):
     out = p.pseudonymise(edge_docs(spark), KEY)
     assert rows_of(out, "doc_id", "text") == rows_of(edge_docs(spark), "doc_id", "text")
     assert p.pseudonymise(empty_docs(spark), KEY).count() == 0
+
+
+def test_cards_beside_other_numbers(spark):
+    card, amex, digits = "4111 1111 1111 1111", "3782 822463 10005", "4111111111111111"
+    texts = [f"{card} 12/27", f"{digits} 123", f"qty 2 {digits}", f"in 2024 {card} x", f"{card} 2024 {card}", f"1 {amex} 1234", f"12-{card.replace(' ', '-')}-99", f"4111111111111112 {digits}", f"{card} 10.0.0.1", "4111 1111 1111 1111 003"]
+    alone = {r.doc_id: r.text for r in p.pseudonymise(docs(spark, enumerate([card, amex, digits, card.replace(" ", "-")])), KEY).collect()}
+    got = {r.doc_id: r for r in p.pseudonymise(docs(spark, enumerate(texts)), KEY).collect()}
+    for k, t in enumerate(texts):
+        want = t
+        for x, new in zip((card, amex, digits, card.replace(" ", "-")), (alone[i] for i in range(4)), strict=True):
+            want = want.replace(x, new)
+        if k == 8:
+            assert got[k].text.startswith(alone[0]) and got[k].n_ip == 1 and got[k].n_card == 1 and "10.0.0.1" not in got[k].text
+        else:
+            assert got[k].text == want and got[k].n_card == (2 if k == 4 else 1), t
+
+
+def test_odd_groupings_of_cards_stay_valid(spark):
+    texts = ["411111 1111111111", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "41 1111 1111 1111 11"]
+    nineteen = next(x for k in range(1000) if luhn((x := f"6304 0000 0000 0001 {k:03}").replace(" ", "")) % 10 == 0)
+    assert luhn("6304000000000001") % 10 and all(luhn(x.replace(" ", "")) % 10 == 0 for x in texts)
+    got = p.pseudonymise(docs(spark, enumerate([nineteen, *texts])), KEY).collect()
+    assert all(r.n_card == 1 for r in got)

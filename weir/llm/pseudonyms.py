@@ -6,7 +6,9 @@ document, different values different ones, and nothing has to be stored or joine
 
 Kinds, tried in this order, and what makes a candidate valid (all else is left as it stands):
   iban   two letters and 14 to 30 digits, ISO 7064 mod-97 remainder 1; the last 16 digits are permuted, check digits made anew
-  card   13 to 19 digits, singly spaced or hyphenated or not, Luhn-valid; all but the last digit permuted, the last made anew
+  card   13 to 19 digits, singly spaced or hyphenated or not, Luhn-valid; all but the last digit permuted, the last made anew.
+         Bare digits, 4-4-4-4 and 4-6-5 groups are tried at each group, so numbers at a card's side are no part of it;
+         in other groupings the longest run counts
   phone  +1 (ddd) ddd-dddd, or ddd-ddd-dddd with a space, dot or hyphen between; ten digits permuted
   ssn    ddd-dd-dddd; area 001-665 or 667-899, group 01-99, serial 0001-9999, permuted among the valid ones
   ip     four numbers to 255 joined by dots; permuted among all addresses
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 #: Forms of the candidates.
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){3,7}(?: ?[0-9]{1,3})?(?![A-Za-z0-9])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+RUN = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+SHAPED = r"(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![0-9])"
+CARD = rf"(?<![0-9]){SHAPED}|(?<![0-9])[0-9](?:[ -]?(?!(?<![0-9]){SHAPED})[0-9]){{12,18}}(?![0-9])"
 PHONE = r"(?<![0-9])(?:\+1 ?)?\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}(?![0-9])|(?<![0-9.-])(?:\+1[-. ])?[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
@@ -104,12 +108,27 @@ def pseudonym_sql(key: str) -> tuple[str, str]:
         WHEN {whole(DATE)} THEN IF(({day}) BETWEEN DATE'{FIRST_DAY}' AND DATE'2100-02-28', 'date', NULL)
         WHEN {whole(SSN)} THEN IF({area} BETWEEN 1 AND 899 AND {area} <> 666 AND {group} > 0 AND {serial} > 0, 'ssn', NULL)
         WHEN {whole(PHONE)} THEN 'phone'
-        WHEN {whole(CARD)} THEN IF(({_luhn(d)}) % 10 = 0, 'card', NULL)
+        WHEN {whole(RUN)} THEN IF(({_luhn(d)}) % 10 = 0, 'card', NULL)
         WHEN {whole(IP)} THEN IF({octet(0)} < 256 AND {octet(1)} < 256 AND {octet(2)} < 256 AND {octet(3)} < 256, 'ip', NULL)
     END"""
     return kind, f"CASE kind WHEN 'iban' THEN {iban} WHEN 'card' THEN {card} WHEN 'phone' THEN {phone} WHEN 'ssn' THEN {ssn} WHEN 'ip' THEN {ip} WHEN 'date' THEN {date} ELSE m END"
 
 
+def _cards_sql() -> tuple[str, str]:
+    """SQL on t: its Luhn-valid shaped cards, wherever a group begins; on shaped: valid longest runs without one of them."""
+    valid = f"x -> ({_luhn(_digits('x'))}) % 10 = 0"
+    shaped = f"array_distinct(filter(regexp_extract_all(t, {_sql(f'(?<![0-9])(?=({SHAPED}))')}, 1), {valid}))"
+    runs = f"array_distinct(filter(filter(regexp_extract_all(t, {_sql('(' + RUN + ')')}, 1), {valid}), x -> NOT exists(shaped, s -> contains(x, s))))"
+    return shaped, runs
+
+
+def _pattern_sql() -> str:
+    """SQL on shaped and runs: PATTERN where none but these cards are taken, and no other run takes a part of them."""
+    cards = "array_join(concat(shaped, runs), '|')"
+    before, after = PATTERN.split(CARD)
+    return f"concat({_sql(before + '(?<![0-9])(?:')}, {cards}, {_sql(')(?![0-9])' + after)})"
+
+
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, text_col with pseudonyms, n_values, and n_<kind> for each kind.
 
@@ -120,12 +139,18 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     kind, new = pseudonym_sql(key)
     t = F.col("t")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    found: Column = F.expr(f"transform(regexp_extract_all(t, {_sql('(' + PATTERN + ')')}, 1), m -> struct(m, {kind} AS kind))")
+    shaped, runs = _cards_sql()
+    rows = rows.withColumn("shaped", F.when(t.rlike(RUN), F.expr(shaped)))
+    rows = rows.withColumn("runs", F.when(F.col("shaped").isNotNull(), F.expr(runs)))
+    rows = rows.withColumn("pattern", F.when(F.size("shaped") + F.size("runs") > 0, F.expr(_pattern_sql())))
+    either = lambda f: f"IF(pattern IS NULL, {f(_sql(PATTERN))}, {f('pattern')})"
+    matches = either(lambda x: f"regexp_extract_all(t, {x}, 0)")
+    found: Column = F.expr(f"transform({matches}, m -> struct(m, {kind} AS kind))")
     # a text without a digit, or without a candidate, is passed on as it is
     rows = rows.withColumn("found", F.when(t.rlike("[0-9][0-9 ./()-]{6}|[a-z] [0-9]{1,2}, [0-9]{4}|[0-9] [A-Z][a-z]{2,8} [0-9]{4}"), found))
     rows = rows.withColumn("some", F.coalesce(F.exists("found", lambda x: x["kind"].isNotNull()), F.lit(False)))
     put = F.expr(f"transform(found, x -> element_at(transform(array(x), y -> element_at(transform(array(y.m), (m, z) -> element_at(transform(array(y.kind), kind -> {new}), 1)), 1)), 1))")
-    gaps = F.expr(f"split(t, {_sql(PATTERN)}, -1)")
+    gaps = F.expr(either(lambda x: f"split(t, {x}, -1)"))
     joined = F.expr("array_join(transform(gaps, (g, i) -> concat(g, IF(i < size(put), put[i], ''))), '')")
     rows = rows.withColumn("put", F.when(F.col("some"), put)).withColumn("gaps", F.when(F.col("some"), gaps))
     count = lambda k: F.coalesce(F.size(F.filter("found", lambda x: x["kind"] == k)), F.lit(0)).cast("long")
