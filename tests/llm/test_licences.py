@@ -29,6 +29,11 @@ def test_wrapped_texts_and_look_alikes(spark):
     assert out == [["MIT"], ["GPL-3.0-or-later"], [], ["MIT"], ["MIT"]]
 
 
+def test_a_line_may_end_after_the_first_word(spark):
+    out = found(spark, "Released\nunder the MIT License.", "# Licensed\n# under the Apache License, Version 2.0.", "All\n  rights\nreserved.", "Released.\nunder the MIT License.")
+    assert out == [["MIT"], ["Apache-2.0"], ["Proprietary"], []]
+
+
 def test_longer_rules_take_their_sentences():
     table = sentence_table(SENTENCES)
     parts = sentences(MIT + "\nReleased under the MIT License.", table, first_words(table))

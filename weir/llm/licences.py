@@ -83,7 +83,10 @@ def sentences(text: str | None, table: dict[bytes, str] | None = None, starts: t
     flat = raw.translate(_TABLE)
     lines = flat.split(b"\n")
     rows = [_split(x, table) for x in lines]
-    if table is None or not any(x in flat for x in starts):
+    if table is None:
+        return [s for row in rows for s in row]
+    words = b" ".join(flat.replace(b"\x02", b" ").split())  # a line end may part the first two words
+    if not any(x in words for x in starts):
         return [s for row in rows for s in row]
     out: list[bytes] = []
     wrapped: list[int] = []
