@@ -120,6 +120,38 @@ def test_process_and_monitor(spark):
     assert threading.current_thread() is threading.main_thread()
 
 
+def test_monitor_loop(spark):
+    reports = []
+    mon = Monitor(on_report=reports.append)
+    assert process(spark, spark.range(7), lambda d: d.count()) == 7 and process(spark, spark.range(5), lambda d: None) == 5
+    with mon.loop(0.1, spark):
+        mon.watch(spark.range(3), "a").collect()
+        assert mon.counted("a") == 3
+        deadline = time.time() + 10
+        while not reports and time.time() < deadline:
+            time.sleep(0.05)
+        mon.watch(spark.range(4), "b").collect()
+        mon.watch(spark.range(4), "never")
+    assert reports == [{"a": 3}, {"b": 4}] and mon.counted("never") is None
+    flow = Flow(spark, options=Options(monitor=True, interval_seconds=0.05))
+    got = []
+    flow.monitor.on_report = got.append
+    flow.add_sink(spark.range(6), lambda d: d.write.format("noop").mode("overwrite").save(), "six")
+    flow.add(lambda: got.append(flow.busy), "busy")
+    assert not flow.busy
+    flow.run()
+    assert {"six": 6} in got and True in got and not flow.busy
+
+
+def test_lookup_stream_with_more_columns(spark, tmp_path):
+    out = []
+    stream = streams.LookupStream(Lookup("k", "dk", "sk"), str(tmp_path / "dim"), lambda d, n: out.extend(map(tuple, d.select("k", "sk", "note").collect())))
+    stream.create(rows(spark, [(1, "a", "first")], "sk bigint, dk string, note string"))
+    stream(rows(spark, [("a",), ("b",)], "k string"), 0)
+    stream(rows(spark, [("b",), ("c",)], "k string"), 1)
+    assert sorted(out, key=repr) == [("a", 1, "first"), ("b", 2, None), ("b", 2, None), ("c", 3, None)]
+
+
 def test_streams(spark, tmp_path):
     spark.range(10).write.parquet(str(tmp_path / "in"))
     source = streams.read(spark, str(tmp_path / "in"), "id bigint", max_files=1)

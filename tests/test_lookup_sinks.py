@@ -1,14 +1,16 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weir.errors import RejectedRowError
+from weir.errors import MappingError, RejectedRowError
 from weir.operators import batching
 from weir.operators.iterate import closure, fixpoint
 from weir.operators.lookup import Lookup, Strategy, hit_counts, newest
-from weir.operators.mapping import TargetTable
+from weir.operators.mapping import Accessor, ColumnMapping, Entity, TargetTable
 from weir.operators.recorder import Recorder
-from weir.sources.readers import jdbc, post, rows, tagged
-from weir.sources.sinks import BulkSink, ErrorSink, KeyedTextSink, MultiSink, NullSink, RowSink
+from weir.sources.readers import identity_column, jdbc, post, rows, tagged
+from weir.sources.sinks import BulkSink, ErrorSink, KeyedTextSink, MultiSink, NullSink, RowSink, cursor, retrying
+from weir.sources.storage import connected
 
 
 def dim(spark):
@@ -78,7 +80,10 @@ def test_eager_and_whole_files(spark, tmp_path):
     eager = BulkSink(TargetTable("t", str(tmp_path), "eager"), eager=True, post_write=lambda t, d: seen.append((t.name, d.count())))
     eager(df)
     eager(df)
-    assert seen == [("eager", 100), ("eager", 200)] and eager.read(spark).count() == 200
+    assert {n for n, _ in seen} == {"eager"} and sum(k for _, k in seen) == 200 and eager.read(spark).count() == 200
+    empty = BulkSink(TargetTable("t", str(tmp_path), "none"), eager=True)
+    empty(df.limit(0))
+    assert empty.read(spark).count() == 0
 
     def fail(*_):
         raise RejectedRowError("induced")
@@ -94,6 +99,61 @@ def test_eager_and_whole_files(spark, tmp_path):
     assert BulkSink(whole).read(spark).count() == 200 and not list((tmp_path / "whole").glob("_staging*"))
 
 
+def test_eager_batches_survive(spark, tmp_path):
+    """Of 40 rows in batches of 10 the third holds a bad row: two are there, by the write or by the hook."""
+    df = spark.range(0, 40, 1, 1)
+    entity = Entity({"id": ColumnMapping("t")})
+    bad = df.select(F.when(F.col("id") != 25, F.struct("id")).alias("a"))
+    strict = Accessor(bad.schema, T.StructType.fromDDL("id bigint"), "t", Entity({"a.id": ColumnMapping("t")}, no_null_check=frozenset(["a"])))
+    seen = []
+    sink = BulkSink(TargetTable("t", str(tmp_path), "mapped"), strict, eager=True, batch=10, post_write=lambda t, d: seen.append(d.agg(F.min("id"), F.count("*")).first()))
+    with pytest.raises(Exception, match="a is null"):
+        sink(bad)
+    assert sorted(r.id for r in sink.read(spark).collect()) == list(range(20)) and [tuple(r) for r in seen] == [(0, 10), (10, 10)]
+
+    def fail_at_third(_target, rows, calls=[]):  # noqa: B006
+        calls.append(rows.count())
+        if len(calls) == 3:
+            raise RejectedRowError("induced")
+
+    hooked = BulkSink(TargetTable("t", str(tmp_path), "hooked"), Accessor(df.schema, df.schema, "t", entity), eager=True, batch=10, post_write=fail_at_third)
+    with pytest.raises(RejectedRowError):
+        hooked(df)
+    assert hooked.read(spark).count() == 30  # the hook runs once its batch is in
+    assert not list((tmp_path / "hooked").glob("_staging*"))
+
+
+def test_database_with_a_user(spark, tmp_path):
+    """The database puts a user's tables into a schema of the user's name, so a connection without the user finds none."""
+    url, options = f"jdbc:derby:{tmp_path}/users;create=true", {"user": "weir", "password": "secret"}
+    with connected(spark, url, options) as con:
+        con.createStatement().executeUpdate("CREATE TABLE T (ID INTEGER, N INTEGER GENERATED ALWAYS AS IDENTITY)")
+    assert identity_column(spark, url, "T", options) == "N" and identity_column(spark, url, "NONE", options) is None
+    df = spark.range(50).select(F.col("id").cast("int").alias("Id"))
+    BulkSink(TargetTable("t", url, "T"), options=options)(df)
+    BulkSink(TargetTable("t", url, "T"), eager=True, batch=10, options=options)(df.withColumnRenamed("Id", "ID"))
+    assert jdbc(spark, url, "T", options=options).count() == 100
+    with pytest.raises(MappingError):
+        BulkSink(TargetTable("t", url, "T"), options=options)(df.withColumnRenamed("Id", "other"))
+    with pytest.raises(Exception, match="(?i)does not exist"):
+        BulkSink(TargetTable("t", url, "T"))(df)
+
+
+def test_retries_and_cursor(spark):
+    tries = []
+
+    def flaky(df):
+        tries.append(df.count())
+        if len(tries) < 3:
+            raise OSError("refused")
+        return "in"
+
+    assert retrying(flaky, seconds=0.01)(spark.range(3)) == "in" and tries == [3, 3, 3]
+    with pytest.raises(ZeroDivisionError):
+        retrying(lambda df: 1 / 0, times=1, seconds=0)(spark.range(1))
+    assert list(cursor(spark.range(0, 5, 1, 2))) == [(k,) for k in range(5)]
+
+
 def test_databases(spark, tmp_path):
     url = f"jdbc:derby:{tmp_path}/db;create=true"
     df = spark.range(50).select(F.col("id").cast("int").alias("ID"))

@@ -15,10 +15,12 @@ def numbered(df: DataFrame, order: str, name: str = "n") -> DataFrame:
 
     The rows are range-partitioned and stored, numbered inside each partition, and shifted by the sizes of the
     partitions before; only those sizes (one for each partition) meet in one task. They are stored since the ranges come
-    from a sample, which a second run of the plan may draw anew. Of equal values the order is any.
+    from a sample, which a second run of the plan may draw anew. Of equal values the order is any; they are dealt by
+    where they come from, so a value that most rows have fills more than one task.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = stored(df.repartitionByRange(parts, F.col(order).asc_nulls_first()).withColumn("__part", F.spark_partition_id()))
+    tie = F.xxhash64(F.monotonically_increasing_id())
+    dealt = stored(df.repartitionByRange(parts, F.col(order).asc_nulls_first(), tie).withColumn("__part", F.spark_partition_id()))
     local = dealt.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(F.col(order).asc_nulls_first())) - 1)
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("__size"))
     before = F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

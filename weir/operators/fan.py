@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from weir.operators.stage import Transform
 
+#: Keys that may have a child of their own.
+MAX_CHILDREN = 10_000
+
 
 class Broadcaster:
     """Every target gets every row. A predicate on a target is an error: that would be routing."""
@@ -49,7 +52,7 @@ class Dispatcher:
     """One target for each distinct key; a row goes to the target of its key.
 
     `normalise` makes keys equal that differ in writing, such as F.lower. Null is a key like any other. The set of
-    keys is read once and must be small, since every key has a child of its own; `by_path` has no such bound.
+    keys is read once and refused beyond MAX_CHILDREN, since every key has a child of its own; `by_path` has no such bound.
     """
 
     def __init__(self, df: DataFrame, key: Column | str, normalise: Callable[[Column], Column] | None = None):
@@ -60,7 +63,10 @@ class Dispatcher:
         return self.df.withColumn(name, self.key)
 
     def keys(self) -> list[object]:
-        return sorted((r[0] for r in self.df.select(self.key.alias("k")).distinct().collect()), key=lambda k: (k is not None, str(k)))
+        found = self.df.select(self.key.alias("k")).distinct().limit(MAX_CHILDREN + 1).collect()
+        if len(found) > MAX_CHILDREN:
+            raise ValueError(f"more than {MAX_CHILDREN} keys: write them with by_path, or use by_group")
+        return sorted((r[0] for r in found), key=lambda k: (k is not None, str(k)))
 
     def child(self, key: object) -> DataFrame:
         return self.df.filter(self.key.eqNullSafe(F.lit(key)))

@@ -6,8 +6,11 @@ option. Several mappings may want one column; the least `10 * depth + option` wi
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field, replace
+from datetime import date, datetime
+from decimal import Decimal
 from enum import IntEnum
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +21,9 @@ from weir.errors import MappingError
 from weir.operators.router import fail_on_rows
 
 
+log = logging.getLogger("weir.mapping")
+
+
 class Option(IntEnum):
     MANDATORY = 1
     OPTIONAL = 2
@@ -86,28 +92,40 @@ def clear_registered() -> None:
 
 
 def paths_of(schema: T.StructType, no_expand: frozenset[str] = frozenset()) -> list[tuple[tuple[str, ...], T.StructField]]:
-    """Leaf fields, level by level. Structs are looked into, unless excluded; arrays and maps are left out."""
-    level = [((f.name,), f) for f in schema.fields]
+    """Leaf fields, level by level. Structs are looked into, unless excluded; arrays and maps are left out.
+
+    A struct may name its entity in its field's metadata. One that stands below a struct of the same entity closes a
+    loop of references: it is left out, with a warning.
+    """
+    level = [((f.name,), f, frozenset()) for f in schema.fields]
     out = []
     while level:
         below = []
-        for path, f in level:
+        for path, f, above in level:
             if isinstance(f.dataType, T.StructType):
-                if ".".join(path) not in no_expand:
-                    below += [((*path, g.name), g) for g in f.dataType.fields]
+                kind = (f.metadata or {}).get("entity")
+                if kind is not None and kind in above:
+                    log.warning("%s refers to %s, which it is a part of, and is left out", ".".join(path), kind)
+                elif ".".join(path) not in no_expand:
+                    below += [((*path, g.name), g, above | ({kind} - {None})) for g in f.dataType.fields]
             elif not isinstance(f.dataType, (T.ArrayType, T.MapType)):
                 out.append((path, f))
         level = below
     return out
 
 
-#: Value types of the defaults that a column takes.
+#: Value types of the defaults that a column takes, by the type's name without parameters.
 _PYTHON = {
     "string": (str,), "boolean": (bool,), "tinyint": (int,), "smallint": (int,), "int": (int,), "bigint": (int,),
     "float": (float, int), "double": (float, int), "binary": (bytes, bytearray),
+    "decimal": (Decimal, int), "date": (date,), "timestamp": (datetime,), "timestamp_ntz": (datetime,),
 }
 #: What a missing value of a column that cannot be null reads as.
-_ZERO = {"string": None, "boolean": False, "tinyint": 0, "smallint": 0, "int": 0, "bigint": 0, "float": 0.0, "double": 0.0}
+_ZERO = {"string": None, "boolean": False, "tinyint": 0, "smallint": 0, "int": 0, "bigint": 0, "float": 0.0, "double": 0.0, "decimal": 0, "date": "0001-01-01", "timestamp": "0001-01-01 00:00:00", "timestamp_ntz": "0001-01-01 00:00:00"}
+
+
+def _plain(kind: T.DataType) -> str:
+    return kind.simpleString().split("(")[0]
 
 
 class Accessor:
@@ -145,8 +163,8 @@ class Accessor:
         kind = f.dataType.simpleString()
         if not f.nullable and kind != "string" and kind != "binary":
             raise MappingError("a default was given for a value that cannot be null", m, ".".join(path))
-        allowed = _PYTHON.get(kind)
-        if allowed and (not isinstance(m.default, allowed) or isinstance(m.default, bool) and bool not in allowed):
+        allowed = _PYTHON.get(_plain(f.dataType))
+        if kind == "date" and isinstance(m.default, datetime) or allowed and (not isinstance(m.default, allowed) or isinstance(m.default, bool) and bool not in allowed):
             raise MappingError(f"a default of type {type(m.default).__name__} does not fit {kind}", m, ".".join(path))
 
     def _resolve(self, m: ColumnMapping, path: tuple[str, ...], f: T.StructField) -> Resolved | None:
@@ -155,7 +173,7 @@ class Accessor:
             if not 0 <= m.offset < len(self.target.fields):
                 raise MappingError(f"the target has {len(self.target.fields)} columns", m, ".".join(path))
             at = m.offset
-            if m.name is not None and self.target.fields[at].name.lower() != m.name.lower():
+            if m.name is not None and self.target.fields[at].name != m.name:
                 raise MappingError(f"column {at} is {self.target.fields[at].name!r}, not {m.name!r}", m, ".".join(path))
         else:
             at = self._by_lower.get((m.name if m.name is not None else path[-1]).lower())
@@ -201,15 +219,16 @@ class Accessor:
         value = F.col(".".join(f"`{p}`" for p in r.path))
         if r.mapping.default is not None:
             return F.coalesce(value, F.lit(r.mapping.default).cast(r.kind))
-        zero = _ZERO.get(r.kind.simpleString())
+        zero = _ZERO.get(_plain(r.kind))
         if not r.nullable and zero is not None and len(r.path) > 1:  # below a null parent
             return F.coalesce(value, F.lit(zero).cast(r.kind))
         return value
 
-    def apply(self, df: DataFrame) -> DataFrame:
+    def apply(self, df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
+        """The mapped columns, after those in keep as they are."""
         for path in sorted(self.entity.no_null_check):
             df = fail_on_rows(df, F.col(path).isNull(), f"{path} is null and has no null check")
-        return df.select(*self.columns())
+        return df.select(*keep, *self.columns())
 
 
 _ACCESSORS: dict[tuple, Accessor] = {}

@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Kinds of entities, and of events, that a recorder takes from one DataFrame.
+MAX_KINDS = 100_000
+
+
 @dataclass(frozen=True)
 class Event:
     """An event; both levels may be missing, and an event without either is empty."""
@@ -89,14 +93,14 @@ class Recorder:
 
     def record(self, df: DataFrame, entity: Column | str, level1: Column | str | None = None, level2: Column | str | None = None) -> Recorder:
         """Count a DataFrame's rows by entity, and their events where level1 or level2 is not null."""
-        for r in count_entities(df, entity).collect():
+        for r in _bounded(count_entities(df, entity)):
             self.record_entity(r["entity"], r["n"])
         if level1 is not None:
             self.record_events(df, level1, level2)
         return self
 
     def record_events(self, df: DataFrame, level1: Column | str, level2: Column | str | None = None) -> Recorder:
-        for r in count_events(df, level1, level2).collect():
+        for r in _bounded(count_events(df, level1, level2)):
             self.record_event(r["level1"], r["level2"], r["n"])
         return self
 
@@ -138,7 +142,11 @@ class Recorder:
 
     @property
     def exception_count(self) -> int:
-        return sum(n for e, n in self._entities.items() if e in self.exceptions)
+        """Rows of the exception types and of all their subtypes."""
+        return sum(n for e, n in self._entities.items() if self.is_exception(e))
+
+    def is_exception(self, entity: str) -> bool:
+        return entity in self.exceptions or any(self._is_a(entity, x) for x in self.exceptions)
 
     @property
     def total(self) -> int:
@@ -149,10 +157,17 @@ class Recorder:
 
     def dump(self) -> str:
         """The counts as text; exceptions are not listed as entities."""
-        kinds = ", ".join(f"{e}({n})" for e, n in sorted(self._entities.items()) if e not in self.exceptions)
+        kinds = ", ".join(f"{e}({n})" for e, n in sorted(self._entities.items()) if not self.is_exception(e))
         events = ", ".join(f"{e}({n})" for e, n in sorted(self._events.items(), key=lambda x: str(x[0])))
         return f"[{self.name}] entities: {kinds}\n[{self.name}] events: {events}"
 
 
+def _bounded(counts: DataFrame) -> list:
+    found = counts.limit(MAX_KINDS + 1).collect()
+    if len(found) > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} kinds: keep the counts as a DataFrame")
+    return found
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c

@@ -36,6 +36,7 @@ class Router:
         self.df, self.kind = df, kind
         self._links: list[Branch] = []
         self._left: str | None = None
+        self._recorder: Callable[[DataFrame], object] | None = None
         self._open = True
 
     # ---- links
@@ -72,8 +73,9 @@ class Router:
         """Rows that no predicate holds for go to a branch of their own."""
         return self._close(name)
 
-    def left_to_null(self, recorder: Callable[[DataFrame], DataFrame] | None = None) -> Router:
-        """They are dropped; `garbage()` has them for counting."""
+    def left_to_null(self, recorder: Callable[[DataFrame], object] | None = None) -> Router:
+        """They are dropped; `garbage()` has them, and `garbage_counts()` what the recorder makes of them."""
+        self._recorder = recorder
         return self._close("null")
 
     def left_to_error(self) -> Router:
@@ -128,6 +130,13 @@ class Router:
         """The rows that go to null."""
         return self.df.filter(self.left())
 
+    def garbage_counts(self) -> object:
+        """What the recorder given with `left_to_null` makes of the dropped rows; without one, their count by kind or in all."""
+        if self._recorder is not None:
+            return self._recorder(self.garbage())
+        by = self.kind if self.kind in self.df.columns else None
+        return self.garbage().groupBy(*([by] if by else [])).agg(F.count("*").alias("n"))
+
     def _checked(self) -> DataFrame:
         return fail_on_rows(self.df, self.left()) if self._left == "error" else self.df
 

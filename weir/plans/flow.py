@@ -12,6 +12,7 @@ import threading
 from collections import defaultdict
 from collections.abc import Callable
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from contextlib import nullcontext
 from dataclasses import dataclass
 
 from pyspark import InheritableThread, inheritable_thread_target
@@ -65,6 +66,7 @@ class Flow:
         self._cancelled = threading.Event()
         self.error: BaseException | None = None
         self.results: dict[str, object] = {}
+        self._running: dict = {}
         self.monitor = Monitor(self.full_name, verbose=self.options.verbose)
 
     # ---- building
@@ -94,6 +96,11 @@ class Flow:
         rows = self.monitor.watch(df, label) if self.options.monitor else df
         return self.add(Action(lambda: sink(rows), label))
 
+    @property
+    def busy(self) -> bool:
+        """Whether a child of this flow, or of one below, is running."""
+        return bool(self._running) or any(c.busy for c in self.children if isinstance(c, Flow))
+
     def has(self, child: Action | Flow) -> bool:
         """Whether it is a child of this flow or of one below."""
         return any(c is child or isinstance(c, Flow) and c.has(child) for c in self.children)
@@ -146,7 +153,8 @@ class Flow:
         try:
             if not self.children:
                 raise EmptyFlowError(f"{self.full_name} has no children")
-            error = self._run_children()
+            with self.monitor.loop(self.options.interval_seconds, self.spark) if self.options.monitor else nullcontext():
+                error = self._run_children()
             if error is None:
                 for hook in self._on_success:
                     hook()
@@ -169,7 +177,7 @@ class Flow:
         return child.run()
 
     def _run_children(self) -> BaseException | None:
-        waiting, running, done = list(self.children), {}, set()
+        waiting, running, done = list(self.children), self._running, set()
         error: BaseException | None = None
         self.failures: dict[str, BaseException] = {}
         with ThreadPoolExecutor(max(1, self.options.parallelism), thread_name_prefix=self.name) as pool:
@@ -223,9 +231,19 @@ class Flow:
 
 
 def process(spark: SparkSession, source: DataFrame, *sinks: Callable[[DataFrame], object], options: Options | None = None) -> int:
-    """Feed a source to sinks and wait for all. Gives the number of rows of the source."""
+    """Feed a source to sinks and wait for all. Gives the number of rows of the source.
+
+    One sink's rows are counted while it reads them, so of a sink that stops early those that it took; only where no
+    action counted any is the source read for it. Several sinks share persisted rows, which are counted from there.
+    """
     flow = Flow(spark, options=options)
-    rows = source.persist() if len(sinks) > 1 else source
+    if len(sinks) == 1:
+        watched = flow.monitor.watch(source, "source")
+        flow.add(Action(lambda: sinks[0](watched), "sink0"))
+        flow.run()
+        n = flow.monitor.counted("source")
+        return source.count() if n is None else n
+    rows = source.persist()
     try:
         for k, s in enumerate(sinks):
             flow.add(Action(lambda s=s: s(rows), f"sink{k}"))
@@ -233,5 +251,4 @@ def process(spark: SparkSession, source: DataFrame, *sinks: Callable[[DataFrame]
         flow.run()
         return flow.results[counted.name]
     finally:
-        if len(sinks) > 1:
-            rows.unpersist()
+        rows.unpersist()

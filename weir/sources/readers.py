@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from weir.functions.values import json_fields
 from weir.operators.fan import union
 from weir.operators.recorder import Recorder
+from weir.plans.monitor import Monitor
+from weir.sources.storage import connected
 
 
 def lines(spark: SparkSession, paths: str | Iterable[str], name: str = "line") -> DataFrame:
@@ -41,6 +43,16 @@ def jdbc(spark: SparkSession, url: str, table: str, *, partition: tuple[str, int
     return r.load()
 
 
+def identity_column(spark: SparkSession, url: str, table: str, options: Mapping[str, str] | None = None) -> str | None:
+    """The column of a database table that the database numbers itself, or None."""
+    with connected(spark, url, options) as connection:
+        found = connection.getMetaData().getColumns(None, None, table, None)
+        while found.next():
+            if found.getString("IS_AUTOINCREMENT") == "YES":
+                return found.getString("COLUMN_NAME")
+    return None
+
+
 def json_lines(df: DataFrame, schema: str, column: str = "line") -> DataFrame:
     """Lines of lenient JSON as columns; a malformed line fails the flow, a missing field is null."""
     return df.select(json_fields(column, schema).alias("__j")).select("__j.*")
@@ -69,10 +81,11 @@ class LogReader:
         self.parse, self.recorder, self.level1, self.level2, self.entity = parse, recorder, level1, level2, entity
 
     def process(self, df: DataFrame) -> int:
-        """Parse and count all lines; gives the number of lines read. A line that cannot be parsed fails it."""
-        n = df.count()
-        parsed = self.parse(df)
-        self.recorder.record_events(parsed, self.level1, self.level2)
+        """Parse and count all lines in one scan; gives the number of lines read. A line that cannot be parsed fails it."""
+        seen = Monitor(self.entity)
+        self.recorder.record_events(self.parse(seen.watch(df, "lines")), self.level1, self.level2)
+        n = seen.counted("lines")
+        n = df.count() if n is None else n
         self.recorder.record_entity(self.entity, n)
         return n
 

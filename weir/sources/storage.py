@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,26 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def connected(spark: SparkSession, url: str, options: Mapping[str, str] | None = None) -> Iterator[object]:
+    """The driver's own connection to a database, with the user, password and other properties that Spark's writer gets."""
+    properties = spark._jvm.java.util.Properties()
+    for k, v in (options or {}).items():
+        properties.setProperty(k, str(v))
+    if driver := (options or {}).get("driver"):
+        spark._jvm.java.lang.Class.forName(driver, True, spark._jvm.java.lang.Thread.currentThread().getContextClassLoader())
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url, properties)
+    try:
+        yield connection
+    finally:
+        connection.close()
+
+
+def quoted(spark: SparkSession, url: str, name: str) -> str:
+    """A column name as Spark's writer quotes it for this database."""
+    return spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(name)
+
+
 def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -92,7 +92,8 @@ class LookupStream:
     """Lookup-or-insert on a stream. The dimension is a directory with a subdirectory for each micro-batch's new rows.
 
     Micro-batches of one query never overlap; two queries must not share a dimension. Since a batch may be replayed, its
-    subdirectory is replaced as a whole, and left out when the batch looks keys up again.
+    subdirectory is replaced as a whole, and left out when the batch looks keys up again. Columns of the dimension that
+    a new row has no attribute for are null in it.
     """
 
     def __init__(self, lookup: Lookup, dimension_path: str, sink: Callable[[DataFrame, int], None]):
@@ -118,7 +119,7 @@ class LookupStream:
                 path = f"{self.path}/batch={number}"
                 if exists(spark, path):
                     delete(spark, path)
-                added.select(*dim.columns).write.parquet(path)
+                dim.limit(0).unionByName(added, allowMissingColumns=True).select(*dim.columns).write.parquet(path)
             full = dim.unionByName(added, allowMissingColumns=True)
             self.sink(self.lookup._join(rows, full, None), number)
         finally:
