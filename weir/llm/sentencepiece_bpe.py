@@ -21,10 +21,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Words and parts of words that a worker remembers in one generation, and pairs. This bounds memory only: a full
-#: generation becomes the old one, whose words are taken over when they come again, and the one before it goes.
-CACHE_WORDS = 250_000
-CACHE_PAIRS = 600_000
+#: Bytes of the words, and of the parts of words, that a worker remembers in one generation, and the number of pairs.
+#: This bounds memory only: a full generation becomes the old one, whose words are taken over when they come again, and
+#: the one before it goes.
+WORD_BYTES, PART_BYTES = 24 << 20, 12 << 20
+CACHE_PAIRS = 300_000
+#: Bytes that Python needs for an entry beside its text: slots of the table, headers of its objects.
+_ENTRY = 170
+
+
+class Memory:
+    """What was computed for a text, in two generations of bounded bytes."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.now: dict[str, str | tuple] = {}
+        self.before: dict[str, str | tuple] = {}
+        self.bytes = 0
+
+    def clear(self) -> None:
+        self.now, self.before, self.bytes = {}, {}, 0
+
+    def put(self, key: str, value: str | tuple) -> None:
+        self.bytes += _ENTRY + 2 * len(key) + (len(value) if isinstance(value, str) else 8 * len(value))
+        if self.bytes > self.limit:
+            self.before, self.now, self.bytes = self.now, {}, 0
+        self.now[key] = value
 
 
 class Encoder:
@@ -52,10 +74,12 @@ class Encoder:
         self.near = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
         self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[str, int, str]] = {}
-        self.old_parts: dict[str, tuple[int, ...]] = {}
-        self.old_words: dict[str, tuple[str, int, str]] = {}
+        self.parts = Memory(PART_BYTES)
+        self.words = Memory(WORD_BYTES)
+
+    def forget(self) -> None:
+        self.parts.clear()
+        self.words.clear()
 
     def merged(self, text: str) -> list[int]:
         """BPE by its definition: merge the adjacent pair of the best score, the leftmost of equal ones."""
@@ -132,12 +156,10 @@ class Encoder:
                 else:
                     ids.extend(self.byte[b] for b in part.encode())
                 continue
-            known = self.parts.get(part)
+            known = self.parts.now.get(part)
             if known is None:
-                known = self.old_parts.get(part) or self.part(part)
-                if len(self.parts) >= CACHE_WORDS:
-                    self.old_parts, self.parts = self.parts, {}
-                self.parts[part] = known
+                known = self.parts.before.get(part) or self.part(part)
+                self.parts.put(part, known)
             ids.extend(known)
         return ids
 
@@ -167,26 +189,33 @@ class Encoder:
             ids.extend(self.encode_unit(unit))
         return ids
 
-    def _row(self, unit: str) -> tuple[str, int, str]:
+    def _row(self, unit: str) -> str | tuple[str, str]:
+        """A unit's ids as text, and what they decode to if that is not the unit."""
         ids = self.encode_unit(SPACE + unit)
         back = self._decode(ids)
-        return ",".join(map(str, ids)), len(ids), unit if back == " " + unit else back[1:]
+        joined = ",".join(map(str, ids))
+        return joined if back == " " + unit else (joined, back[1:])
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """(number of ids, the ids as text joined by commas, the text decoded from them)."""
         if not text:
             return 0, "", ""
-        known, rows = self.words, []
-        for unit in text.split(" ") if SPACE not in text and "  " not in text and text[0] != " " and text[-1] != " " else (u[1:] for u in units(text)):
-            row = known.get(unit)
+        rows, odd = [], False
+        parts = text.split(" ") if SPACE not in text and "  " not in text and text[0] != " " and text[-1] != " " else [u[1:] for u in units(text)]
+        now, before = self.words.now.get, self.words.before.get
+        for unit in parts:
+            row = now(unit)
             if row is None:
-                row = self.old_words.get(unit) or self._row(unit)
-                if len(known) >= CACHE_WORDS:
-                    self.old_words, self.words = known, {}
-                    known = self.words
-                known[unit] = row
+                row = before(unit) or self._row(unit)
+                self.words.put(unit, row)
+                now, before = self.words.now.get, self.words.before.get
+            odd = odd or row.__class__ is tuple
             rows.append(row)
-        return sum([r[1] for r in rows]), ",".join([r[0] for r in rows]), " ".join([r[2] for r in rows])
+        if odd:
+            parts = [u if r.__class__ is str else r[1] for u, r in zip(parts, rows, strict=True)]
+            rows = [r if r.__class__ is str else r[0] for r in rows]
+        joined = ",".join(rows)
+        return joined.count(",") + 1, joined, " ".join(parts)
 
 
 def units(text: str) -> list[str]:
@@ -226,7 +255,14 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(full, pa.list_(pa.int32())), pa.array(back, pa.string())] if ids else []), names=names)
 
+    def run_and_forget(batches):
+        """Workers outlive a stage, so what one has remembered goes with the task."""
+        try:
+            yield from run(batches)
+        finally:
+            encoder(model_path).forget()
+
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if ids else [])]
     schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids else "")
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run_and_forget, schema).withColumnRenamed("id", id_col)
