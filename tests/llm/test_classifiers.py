@@ -49,7 +49,9 @@ def test_gapped_insults():
     s = m.scores(["what an i.d.i.o.t and so stu-pid", "the idxiot was so stupiid", "an i d i o t and s t u p i d too", "what a fine dinner in the north", ""])
     assert (s[:3] > 0.5).all() and (s[3:] < 0.5).all() and s[0] > s[3]
     words = ["idiot", "idxiot", "i" * 500, "", "é", "of"]
-    assert toxicity.codes(words)[0].shape[0] == len(words) and m.margins(words)[0] > 0
+    assert m.margins(words).shape == (len(words),) and m.margins(words)[0] > 0
+    glued = m.margins(["k" * 70 + "idiot", "k" * 20 + "idiot", "idiot" + "k" * 33, "weatheridiotnorth", "weatherpeoplenorth", "k" * 70])
+    assert (glued[:4] > 0).all() and (glued[4:] < 0).all()
 
 
 def test_all_letters_of_a_token_are_read():
@@ -61,9 +63,11 @@ def test_all_letters_of_a_token_are_read():
     joined = [c.join(["bread", "soup", "weather", "people", "walked", "dinner", "house", "north", "names", "places", "nobody", "reads", "today", "idiot", "stupid"]) for c in ",/_-|"]
     s = m.scores([long + insults, long + insults + long, *joined, long, long + "," + long])
     assert (s[:-2] > 0.5).all() and (s[-2:] < 0.5).all()
-    assert all(len(x) <= toxicity.WINDOW for w in (long, "ab" * 40, "x" * 33) for x in toxicity.windows(w))
-    word = "".join(chr(200 + k) for k in range(300))
-    assert all(any(word[k : k + toxicity.STRIDE + 1] in x for x in toxicity.windows(word)) for k in range(300 - toxicity.STRIDE))
+    assert all(len(x) <= toxicity.WINDOW for w in (long, "ab" * 40, "x" * 33, "") for x in toxicity.windows(w))
+    run = toxicity.WINDOW - toxicity.STRIDE + 1
+    for n in (1, 7, 8, 9, 10, 11, 300):
+        word = f"^{''.join(chr(200 + k) for k in range(n))}$"
+        assert all(any(word[k : k + run] in x for x in toxicity.windows(word[1:-1])) for k in range(n + 2))
 
 
 def test_kernel_is_the_sum_over_subsequences():
@@ -81,12 +85,112 @@ def test_kernel_is_the_sum_over_subsequences():
         x, y = seqs(a), seqs(b)
         return sum(x[s] * y[s] for s in x.keys() & y.keys())
 
-    c, w = toxicity.codes(["idiot", "idioti"])
+    c, w = toxicity.codes(["^idiot$", "^idioti$"])
     known = np.unique(c[w > 0])
-    f = next(toxicity.features_of(["idiot", "idioti"], known))
+    f = next(toxicity.features_of(["^idiot$", "^idioti$"], known))
     assert np.isclose(f[0] @ f[1], plain("idiot", "idioti")) and np.isclose(f[0] @ f[0], plain("idiot", "idiot"))
 
 
+def plain_score(m, text):
+    """A document's score by its definition: all subsequences of all windows of all words, one by one."""
+    weight = {int(c): float(w) for c, w in zip(m.code, m.weight, strict=True)}
+
+    def margin(word):
+        full, best = f"^{word}$", -np.inf
+        last = max(0, len(full) - toxicity.WINDOW)
+        for at in {*range(0, last, toxicity.STRIDE), last}:
+            w, total, norm = full[at : at + toxicity.WINDOW], 0.0, 0.0
+            for i in range(len(w)):
+                for k in range(i + 2, min(len(w), i + toxicity.MAX_SPAN)):
+                    for j in range(i + 1, k):
+                        x = toxicity.DECAY ** (k - i + 1)
+                        norm += x * x
+                        total += x * weight.get(ord(w[i]) << 42 | ord(w[j]) << 21 | ord(w[k]), 0.0)
+            best = max(best, m.bias + (total / norm**0.5 if norm else 0.0))
+        return best
+
+    found = []
+    for token in toxicity.tokens(text or ""):
+        whole = margin("".join(c for c in token if c.isalpha()))
+        pieces = [margin(p) for p in toxicity.parts(token)]
+        if pieces:
+            pieces[pieces.index(max(pieces))] = max(*pieces, whole)
+        found += pieces or [whole]
+    top = sorted([max(x, toxicity.HIGH) for x in [*found, -9, -9]])[:-3:-1]
+    over = sum(x > 0 for x in found)
+    z = m.logistic @ [1, top[0], sum(top) / 2, min(1, 40 * over / max(1, len(found))), np.log1p(over)]
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def test_query_equals_plain_scores(spark):
+    from tests.conftest import SF as SMALL
+
+    base, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    m = toxicity.learn(base, labels)
+    assert np.abs(m.weight).max() > 0 and (np.diff(m.code.astype(object)) > 0).all()
+    got = {r.doc_id: r.score for r in queries.queries()["op3_toxicity_kernel"](spark, SMALL).collect()}
+    texts = {r.doc_id: r.text for r in base.collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        assert np.isclose(got[i], plain_score(m, text), atol=1e-9), i
+
+
+def test_more_clean_words_never_raise_a_score():
+    m = toxicity.Machine(np.array([1], np.uint64), np.zeros(1), -0.5, np.r_[-1.0, 1, 2, 3, 4])
+    for n in range(2, 200):
+        a, b = toxicity.pooled([0.7, 0.3] + [-0.5] * n), toxicity.pooled([0.7, 0.3] + [-0.5] * (n + 1))
+        assert all(x >= y for x, y in zip(a, b, strict=True)) and a[:2] == b[:2] and a[3] == b[3]
+    assert m.margins([]).shape == (0,)
+
+
+def test_long_texts_are_learned_from():
+    text = ". ".join(f"sentence {k} of many" for k in range(20_000))
+    found = toxicity.sampled_sentences(text)
+    assert 0.9 * toxicity.TRAIN_BYTES < len(found) <= toxicity.TRAIN_BYTES and toxicity.sampled_sentences(text[:9000]) == text[:9000]
+    at = [int(x.split()[1]) for x in found.split("\n")]
+    assert at == sorted(at) and at[0] < 1000 and at[-1] > 19_000
+
+
+def plain_ranking(z, y, pairs, ridge):
+    """Bradley-Terry by plain gradient steps on the same pairs."""
+    w = np.zeros(z.shape[1])
+    d = np.array([z[a] - z[b] for a, b in pairs])
+    for _ in range(20_000):
+        slope = (d * (1 / (1 + np.exp(d @ w)))[:, None]).mean(0) - ridge / len(y) * w
+        w += 0.5 * slope
+        if np.abs(slope).max() < 1e-7:
+            break
+    return w
+
+
+def test_ranking_is_the_minimum_of_the_logistic_loss_on_pairs():
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(60, 4))
+    y = (x @ [1.0, -2, 0, 0.5] + draw.normal(size=60) > 0).astype(np.int64)
+    n = quality.BLOCK + 100
+    got = quality.fit(x, y, 0.4, pairs=n)
+    same = np.random.default_rng(1)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    a, b = good[same.integers(0, len(good), n)], bad[same.integers(0, len(bad), n)]
+    z = (x - got.mean) / got.scale
+    assert np.allclose(got.weight, plain_ranking(z, y, list(zip(a, b, strict=True)), 1.0), atol=1e-3)
+    s = got.strengths(x)
+    load = np.where(y == 1, 0.6 / len(good), 0.4 / len(bad))
+    assert load[s < got.cut].sum() < 0.4 <= load[s <= got.cut].sum() + 1e-9  # the quantile at the share of bad documents
+    assert np.isclose(got.scores(x)[np.argmin(np.abs(s - got.cut))], quality.THRESHOLD)
+
+
+def test_features_by_hand():
+    import pyarrow as pa
+
+    texts = ["Good words here.\nGood words!", "", None, "a b a B"]
+    x = quality.features(pa.array(texts))
+    assert x.shape == (4, len(quality.NAMES)) and np.isfinite(x).all() and not x[1].any() is None
+    h = quality.hashed(pa.array(texts))
+    assert np.allclose((h**2).sum(1), [1, 0, 0, 1]) and np.isclose(np.sort(h[3])[-1] ** 2, 0.5)
+    assert np.allclose(quality.features(pa.array(texts[3:])), x[3:])
+
+
 @pytest.mark.parametrize("score", [quality.score_quality, toxicity.score_toxicity])
 def test_edges(spark, score):
     label = "quality" if score is quality.score_quality else "toxic"

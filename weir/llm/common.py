@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -161,17 +161,25 @@ def doc_rows(first: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(left >= width)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, mod: int, remainder: int, bounds: tuple[int, int], max_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
-    """((id, label, text) of at most bounds[label] labelled documents, the number of all labels that may be learned from).
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, mod: int, remainder: int, bounds: tuple[int, int], reduce: Callable[[str], object], kind: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
+    """((id, label, value) of at most bounds[label] labelled documents, the number of all labels that may be learned from).
 
-    Labels of held-out ids, null ids and labels other than 0 and 1 are never used; of several labels of an id the
-    largest counts, of several texts the largest. The ids with the least hashes are taken, so the sample is the same in
-    every run. Texts of over max_bytes bytes are not learned from. The ids' side of the join is bounded, so broadcast.
+    A value is what `reduce` makes of a whole text, in the task that reads it, so texts of any length may be learned
+    from. Labels of held-out ids, null ids and labels other than 0 and 1 are never used; of several labels of an id the
+    largest counts, of several rows of an id the largest value. The ids with the least hashes are taken, so the sample
+    is the same in every run. The ids' side of the join is bounded, so broadcast.
     """
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id IS NOT NULL AND label IN (0, 1)")
     usable = usable.filter(~held_out(F.col("id"), mod, remainder)).groupBy("id").agg(F.max("label").alias("label"))
     counts = {r.label: r["count"] for r in usable.groupBy("label").count().collect()}
     first, second = (usable.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(bounds[k]) for k in (0, 1))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.join(F.broadcast(first.unionByName(second)), "id").filter(F.octet_length("text") <= max_bytes)
-    return rows.groupBy("id", "label").agg(F.max("text").alias("text")), counts
+    rows = rows.join(F.broadcast(first.unionByName(second)), "id").select("id", "label", "text")
+
+    def run(batches):
+        for batch in batches:
+            values = pa.array([reduce(t.as_py()) for t in batch.column("text")], pa.binary() if kind == "binary" else pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), values], names=["id", "label", "value"])
+
+    values = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, label int, value {kind}")
+    return values.groupBy("id", "label").agg(F.max("value").alias("value")), counts

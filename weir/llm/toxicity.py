@@ -2,7 +2,8 @@
 
 The kernel of two words sums, over all subsequences of three characters that span at most MAX_SPAN, the product of
 decay^span in either word; words carry marks at both ends, and the kernel is divided by a norm for either length.
-So "idxiot", "i-d-i-o-t" or "id_iot" stay close to "idiot". A sentence is as toxic as its most toxic word (the
+So "idxiot", "i-d-i-o-t" or "id_iot" stay close to "idiot". A long word is read in overlapping windows, so a word glued
+to others is compared by itself, and no letter is left out. A sentence is as toxic as its most toxic word (the
 word is latent, as in multiple-instance learning): sentences of clean documents are negative, and of a toxic
 document those are positive that hold its most toxic words. Landmarks are words that labelled documents tell apart.
 On landmarks the machine is linear, and since a landmark's side of the kernel is linear in its subsequences, the
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import pickle
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 from itertools import chain
@@ -30,20 +32,25 @@ LANDMARKS_FOR, LANDMARKS_AGAINST = 112, 80
 COST = 1000.0
 #: Bounds of the sample of labelled documents that the machine is trained on, for each label.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1_000, 1_500
-#: Words with less kernel to every landmark of toxic documents have the floor's margin.
-ACTIVE = 0.4
+#: Words of the sample that are trained on: those with so much kernel to a landmark of toxic documents, and so many others.
+ACTIVE, OTHERS = 0.4, 20_000
+#: The bias before training, and the margin of no words at all.
 FLOOR = -1.0
 #: Margins below this are not told apart in a document.
 HIGH = -0.25
-#: Longer words are read in windows of so many letters, STRIDE apart, so any STRIDE + 1 letters stand in one of them.
-WINDOW, STRIDE = 32, 16
-#: Words a worker remembers; bounds memory only.
-CACHE_WORDS = 300_000
+#: Longer words are read in windows of so many characters, marks included, STRIDE apart: any run of
+#: WINDOW - STRIDE + 1 characters stands in one of them.
+WINDOW, STRIDE = 10, 2
+#: Bytes of the words that a worker remembers in one of two generations; bounds memory only.
+CACHE_BYTES = 16 << 20
+#: Bytes that Python needs for an entry beside its text.
+_ENTRY = 200
 _SENTENCE = re.compile(r"[.!?]+\s|\n")
 _SPACED = re.compile(r"(?<!\S)[^\W\d_](?:[ ]+[^\W\d_](?!\S)){2,}")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 _GAPS = [(a, b) for b in range(2, MAX_SPAN) for a in range(1, b)]
-_SLOTS = 1 << 22
+#: Bits of a table that tells most codes without a weight apart, before the exact search.
+_SIEVE = 20
 
 
 def letters(word: str) -> str:
@@ -65,21 +72,22 @@ def parts(token: str) -> list[str]:
 
 
 def windows(word: str) -> list[str]:
-    """The word, or a long one's overlapping pieces: together they have all its letters."""
-    return [word] if len(word) <= WINDOW else [word[k : k + WINDOW] for k in range(0, len(word) - WINDOW + STRIDE, STRIDE)]
+    """The word with its marks, or a long one's overlapping pieces: together they have all its characters."""
+    full = f"^{word}$"
+    last = len(full) - WINDOW
+    return [full] if last <= 0 else [full[k : k + WINDOW] for k in (*range(0, last, STRIDE), last)]
 
 
 def sentences(text: str) -> list[list[str]]:
-    """Words of each sentence, letters only: tokens read as one word and by their parts, long words by windows."""
+    """Windows of the words of each sentence, letters only: tokens read as one word and by their parts."""
     return [[x for t in tokens(part) for w in (letters(t), *parts(t)) for x in windows(w)] for part in _SENTENCE.split(text) if part.strip()]
 
 
-def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, weights) of the subsequences of each word, padded with code 0 and weight 0; weights are normed."""
-    words = [f"^{w}$" for w in words]
-    n = np.array([len(w) for w in words])
+def codes(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, weights) of the subsequences of each window, padded with code 0 and weight 0; weights are normed."""
+    n = np.array([len(w) for w in pieces])
     width = int(n.max()) if len(n) else 0
-    chars = np.array(words, dtype=f"<U{max(width, 1)}").view(np.uint32).reshape(len(words), -1).astype(np.uint64)
+    chars = np.array(pieces, dtype=f"<U{max(width, 1)}").view(np.uint32).reshape(len(pieces), -1).astype(np.uint64)
     all_codes, all_weights = [], []
     for a, b in _GAPS:
         if width <= b:
@@ -88,7 +96,7 @@ def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         all_codes.append((x << np.uint64(42)) | (y << np.uint64(21)) | z)
         all_weights.append(np.where(np.arange(width - b) + b < n[:, None], DECAY ** (b + 1), 0.0))
     if not all_codes:
-        return np.zeros((len(words), 0), np.uint64), np.zeros((len(words), 0))
+        return np.zeros((len(pieces), 0), np.uint64), np.zeros((len(pieces), 0))
     weight = np.concatenate(all_weights, 1)
     norm = np.sqrt((weight**2).sum(1, keepdims=True))
     return np.concatenate(all_codes, 1), weight / np.where(norm > 0, norm, 1)
@@ -96,67 +104,80 @@ def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Machine:
-    """Weights of subsequences, the threshold, and the logistic function of a document's margins."""
+    """Weights of subsequences (codes sorted), the threshold, and the logistic function of a document's margins."""
 
     code: np.ndarray
     weight: np.ndarray
     bias: float
-    near: np.ndarray
     logistic: np.ndarray
 
     def __post_init__(self):
-        self.memory: dict[str, tuple[float, ...]] = {}
-        self.slots = None
-
-    def _slot(self, code: np.ndarray) -> np.ndarray:
-        return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
+        self.now: dict[str, tuple[float, ...]] = {}
+        self.before: dict[str, tuple[float, ...]] = {}
+        self.bytes = 0
+        self.sieve = None
+
+    def weights(self, code: np.ndarray) -> np.ndarray:
+        """The weight of each code, 0 for one that no landmark has."""
+        if self.sieve is None:
+            self.sieve = np.zeros(1 << _SIEVE, bool)
+            self.sieve[_slot(self.code)] = True
+        out = np.zeros(code.shape)
+        maybe = self.sieve[_slot(code)]
+        some = code[maybe]
+        at = np.minimum(np.searchsorted(self.code, some), len(self.code) - 1)
+        out[maybe] = np.where(self.code[at] == some, self.weight[at], 0.0)
+        return out
 
     def margins(self, words: list[str]) -> np.ndarray:
         """Margins of words of letters; a long word has that of its most toxic window."""
-        if self.slots is None:
-            self.slots = np.full(_SLOTS, -1, np.int32)
-            order = np.argsort(np.abs(self.weight), kind="stable")  # of two in a slot the heavier stays
-            self.slots[self._slot(self.code[order])] = order
-        pieces = [windows(w) for w in words]
-        first = np.cumsum([0, *map(len, pieces)])[:-1]
-        words = [x for p in pieces for x in p]
-        order = np.argsort([len(w) for w in words], kind="stable") if words else np.zeros(0, np.int64)
-        result = np.full(len(words), FLOOR)
-        for k in range(0, len(words), 2000):
+        split = [windows(w) for w in words]
+        if not split:
+            return np.zeros(0)
+        first = np.cumsum([0, *map(len, split)])[:-1]
+        pieces = [x for p in split for x in p]
+        order = np.argsort([len(w) for w in pieces], kind="stable")
+        result = np.full(len(pieces), self.bias)
+        for k in range(0, len(pieces), 2000):
             part = order[k : k + 2000]
-            c, x = codes([words[i] for i in part])
-            if not c.shape[1]:
-                continue
-            at = self.slots[self._slot(c)]
-            hit = (at >= 0) & (self.code[at] == c)
-            x = np.where(hit, x, 0)
-            margin = (x * self.weight[at]).sum(1) + self.bias
-            near = (x * self.near[at]).sum(1)
-            result[part] = np.where(near >= ACTIVE, np.maximum(margin, FLOOR), FLOOR)
-        return np.maximum.reduceat(result, first) if len(pieces) else result
+            c, x = codes([pieces[i] for i in part])
+            result[part] += (x * self.weights(c)).sum(1)
+        return np.maximum.reduceat(result, first)
 
     def learn(self, words: set[str]) -> dict[str, tuple[float, ...]]:
-        """Margins by word as it stands in a text; the words asked for are in it.
+        """Margins by word as it stands in a text.
 
         Of a word with parts there is a margin for each part, and that of all its letters as one word stands in the
         place of the greatest, if it is greater.
         """
-        new = [w for w in words if w not in self.memory]
-        if new:
-            if len(self.memory) + len(new) > CACHE_WORDS:
-                self.memory.clear()
-                new = list(words)
-            split = [parts(w) for w in new]
-            got = self.margins([x for w, p in zip(new, split, strict=True) for x in (letters(w), *p)]).tolist()
-            at = 0
-            for w, p in zip(new, split, strict=True):
-                whole, rest = got[at], got[at + 1 : at + 1 + len(p)]
-                at += 1 + len(p)
-                if rest:
-                    worst = max(range(len(rest)), key=rest.__getitem__)
-                    rest[worst] = max(rest[worst], whole)
-                self.memory[w] = tuple(rest) or (whole,)
-        return self.memory
+        out, new = {}, []
+        for w in words:
+            known = self.now.get(w)
+            if known is None:
+                known = self.before.get(w)
+                if known is None:
+                    new.append(w)
+                    continue
+                self._put(w, known)
+            out[w] = known
+        split = [parts(w) for w in new]
+        got = self.margins([x for w, p in zip(new, split, strict=True) for x in (letters(w), *p)]).tolist()
+        at = 0
+        for w, p in zip(new, split, strict=True):
+            whole, rest = got[at], got[at + 1 : at + 1 + len(p)]
+            at += 1 + len(p)
+            if rest:
+                worst = max(range(len(rest)), key=rest.__getitem__)
+                rest[worst] = max(rest[worst], whole)
+            out[w] = tuple(rest) or (whole,)
+            self._put(w, out[w])
+        return out
+
+    def _put(self, word: str, margins: tuple[float, ...]) -> None:
+        self.bytes += _ENTRY + len(word) + 32 * len(margins)
+        if self.bytes > CACHE_BYTES:
+            self.now, self.before, self.bytes = {}, self.now, 0
+        self.now[word] = margins
 
     def features(self, texts: list[str]) -> np.ndarray:
         lists = [tokens(t) for t in texts]
@@ -167,20 +188,23 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(np.c_[np.ones(len(texts)), self.features(texts)] @ self.logistic, -30, 30)))
 
 
+def _slot(code: np.ndarray) -> np.ndarray:
+    return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SIEVE)).astype(np.int64)
+
+
 N_FEATURES = 4
 
 
 def pooled(margins: list[float]) -> tuple[float, ...]:
     """The margins of a document's words as the features of its logistic function.
 
-    The worst word (so, of the worst sentence), the mean of the worst two, or three in a text of over 50 words, the
-    toxic words as a share that saturates at one in 40, and their number.
+    The worst word (so, of the worst sentence), the mean of the worst two, the toxic words as a share that saturates at
+    one in 40, and their number.
     """
     high = sorted([x for x in margins if x > HIGH], reverse=True)
-    k = 3 if len(margins) > 50 else 2
-    top = [*high[:k], *[HIGH] * k][:k]
+    top = [*high[:2], HIGH, HIGH][:2]
     over = sum(1 for x in high if x > 0)
-    return (top[0], sum(top) / k, min(1.0, 40 * over / max(1, len(margins))), float(np.log1p(over)))
+    return (top[0], sum(top) / 2, min(1.0, 40 * over / max(1, len(margins))), float(np.log1p(over)))
 
 
 def features_of(words: list[str], codes_sorted: np.ndarray, size: int = 500):
@@ -243,10 +267,10 @@ def train(texts: list[str], labels: list[int], weights: list[float] | None = Non
     docs = [[[same.setdefault(w, w) for w in s] for s in sentences(t or "")] for t in texts]
     yes, no = Counter(), Counter()
     for d, label in zip(docs, y, strict=True):
-        (yes if label else no).update({w for s in d for w in s if len(w) > 2})
+        (yes if label else no).update({w for s in d for w in s if len(w) > 4})
     n_yes, n_no = max(1, int(y.sum())), max(1, int((1 - y).sum()))
     prior = (float(weight @ y) + 1) / (weight.sum() + 2)
-    nothing = Machine(np.zeros(1, np.uint64), np.zeros(1), FLOOR, np.zeros(1), np.r_[np.log(prior / (1 - prior)), np.zeros(N_FEATURES)])
+    nothing = Machine(np.zeros(1, np.uint64), np.zeros(1), FLOOR, np.r_[np.log(prior / (1 - prior)), np.zeros(N_FEATURES)])
     # how surely toxic documents have a word more often, in standard errors
     surprise = {w: (k / n_yes - no[w] / n_no) / np.sqrt((k + no[w] + 1) / (n_yes + n_no) * (1 / n_yes + 1 / n_no)) for w, k in yes.items() if k >= 2}
     chosen = [w for w in sorted(surprise, key=lambda w: (-surprise[w], w)) if surprise[w] > 3][:LANDMARKS_FOR]
@@ -263,14 +287,14 @@ def train(texts: list[str], labels: list[int], weights: list[float] | None = Non
     every = sorted(set(yes) | set(no))
     near = np.concatenate([f @ most for f in features_of(every, known)])
     active = [w for w, k in zip(every, near.tolist(), strict=True) if k >= ACTIVE]
+    others = sorted((w for w, k in zip(every, near.tolist(), strict=True) if k < ACTIVE), key=lambda w: (zlib.crc32(w.encode()), w))[:OTHERS]
+    active += others  # so that the margin of a word far from all landmarks is learned too
     nearest = np.concatenate([(f @ table).max(1) for f in features_of(active, known)])
     # landmarks against: words of clean documents that come nearest to those for
     rank = {w: k * np.log1p(no[w]) for w, k in zip(active, nearest.tolist(), strict=True) if no[w] * n_yes > yes[w] * n_no}
     against = sorted(rank, key=lambda w: (-rank[w], w))[:LANDMARKS_AGAINST]
     marks = chosen + against
     known, table = laid(marks)
-    most = np.zeros(len(known))
-    most[:] = table[:, : len(chosen)].max(1)
     value, vector = np.linalg.eigh(table.T @ table)
     value, vector = value[value > 1e-6], vector[:, value > 1e-6]
     root = vector / np.sqrt(value)  # Nystroem: features k(word, landmarks) @ root
@@ -313,31 +337,44 @@ def train(texts: list[str], labels: list[int], weights: list[float] | None = Non
         key, inverse = np.unique(row * 2 + (sign > 0), return_inverse=True)
         w, b = hinge(key // 2, phi, np.where(key % 2, 1.0, -1.0), np.bincount(inverse, weights=load), c=COST)
         margin = phi @ w + b
-    out = Machine(known, table @ (root @ w), b, most, np.zeros(N_FEATURES + 1))
+    out = Machine(known, table @ (root @ w), b, np.zeros(N_FEATURES + 1))
     x = np.concatenate([out.features([t or "" for t in texts[k : k + 200]]) for k in range(0, len(texts), 200)])
     out.logistic = logistic(x, y, weight)
     return out
 
 
-#: A longer text is scored whole but not learned from.
-TRAIN_BYTES = 64 << 10
+#: Of a longer text, which is scored whole, so many bytes of sentences are learned from: those of the least hashes.
+TRAIN_BYTES = 32 << 10
 THRESHOLD = 0.7
 
 
+def sampled_sentences(text: str) -> str:
+    """The text, or at most TRAIN_BYTES of its sentences, spread over all of it, in their order."""
+    if len(text) <= TRAIN_BYTES // 4 or len(text.encode()) <= TRAIN_BYTES:
+        return text
+    found, left, taken = [s for s in _SENTENCE.split(text) if s.strip()], TRAIN_BYTES, []
+    for k in sorted(range(len(found)), key=lambda k: (zlib.crc32(f"{k} {found[k]}".encode()), k)):
+        left -= len(found[k].encode()) + 1
+        if left < 0:
+            break
+        taken.append(k)
+    return "\n".join(found[k] for k in sorted(taken))
+
+
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", mod: int = 3, remainder: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Machine:
     """Train on a bounded sample of the labels that are not held out, weighted to the proportion of all of them.
 
     The sample is small by its bounds, so one task trains on it; only the machine comes to the driver.
     """
-    sample, counts = labelled_sample(docs, labels, label_col, mod, remainder, (SAMPLE_CLEAN, SAMPLE_TOXIC), TRAIN_BYTES, id_col, text_col)
+    sample, counts = labelled_sample(docs, labels, label_col, mod, remainder, (SAMPLE_CLEAN, SAMPLE_TOXIC), sampled_sentences, "string", id_col, text_col)
 
     def fit(batches):
-        rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("id", "label", "text")), strict=True))
+        rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("id", "label", "value")), strict=True))
         got = Counter(r[1] for r in rows)
         scale = {k: counts[k] / got[k] for k in got}
         norm = len(rows) / sum(scale[r[1]] for r in rows) if rows else 1.0
         m = train([r[2] for r in rows], [r[1] for r in rows], [scale[r[1]] * norm for r in rows])
-        m = Machine(m.code, m.weight, m.bias, m.near, m.logistic)  # without what it has remembered
+        m = Machine(m.code, m.weight, m.bias, m.logistic)  # without what it has remembered
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(m)], pa.binary())], names=["machine"])
 
     found = sample.repartition(1).mapInArrow(fit, "machine binary").collect()
