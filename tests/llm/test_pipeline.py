@@ -22,7 +22,7 @@ def test_stages_against_plain_versions(spark):
     parts = {i: c for i, _, c in near([(i, r.text) for i, r in rows.items()], 5, 80, 100)}
     rows = {i: r for i, r in rows.items() if parts[i] == i}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    dirty = {i for i, (w, h, _) in zip(rows, benchmark_hits([r.text for r in rows.values()], items, 13), strict=True) if h and 20 * len(h) >= len(w)}
+    dirty = {i for i, (w, h, _) in zip(rows, benchmark_hits([r.text for r in rows.values()], items, 13), strict=True) if h}
     rows = {i: r for i, r in rows.items() if i not in dirty}
     assert dirty and toxic
     now = docs
@@ -39,8 +39,8 @@ def test_stages_take_edges(spark, k):
     stage = corpus_pipeline.STAGES[k][1]
     assert stage(spark, empty_docs(spark), SF).count() == 0
     out = stage(spark, edge_docs(spark), SF)
-    n = edge_docs(spark).count()
-    assert 0 < out.count() <= n
+    # 13 rows: three are empty and three are one text but for case; two are near copies, and two of those three have one id
+    assert out.count() == [13, 9, 10, 13, 13][k]
 
 
 def test_copies_keep_one_row(spark):
