@@ -1,9 +1,8 @@
 """The corpus pipeline: toxicity, exact dedup, near-duplicates, decontamination, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before has kept. Stages that filter return
-the columns of documents as they are. Null texts count as empty in every stage, and stay. Rows that repeat both id
-and text are one document after exact dedup; rows of one id are one document to the near-duplicate stage, and rows
-without an id pass it, for they can't be told apart by the result of the join.
+the columns of documents as they are. Null texts count as empty in every stage, and one of them stays. Rows that repeat
+both id and text are one document after exact dedup; rows of one id with other texts are documents of their own.
 """
 
 from __future__ import annotations
@@ -11,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm.common import ascii_lower, fresh_prefix, stored, table
+from weir.llm.common import fresh_prefix, stored, table
 from weir.llm.decontamination import decontaminate
-from weir.llm.exact_dedup import exact_dedup
-from weir.llm.jaccard_join import jaccard_join
+from weir.llm.exact_dedup import without_copies
+from weir.llm.jaccard_join import without_near_copies
 from weir.llm.queries import tokenizer_path
 from weir.llm.sentencepiece_bpe import encode_documents
 from weir.llm.toxicity import score_toxicity
@@ -28,24 +27,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for the case of A-Z the row with the largest id."""
-    p = fresh_prefix(docs.columns)
-    on = [f"{p}key", f"{p}sha"]
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    kept = exact_dedup(docs, digest=True).filter("kept").select(key.alias(on[0]), F.col("text_sha256").alias(on[1]))
-    rows = docs.withColumns({on[0]: key, on[1]: F.sha2(ascii_lower(F.coalesce("text", F.lit(""))).cast("binary"), 256)})
-    return rows.join(kept, on, "left_semi").dropDuplicates(on).select(*docs.columns)
+    return without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of five-word shingles at a similarity of 0.8 join: the smallest id."""
-    out = jaccard_join(docs, width=5, threshold=(80, 100)).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(out, "doc_id", "left_anti").select(*docs.columns)
+    return without_near_copies(docs, width=5, threshold=(80, 100))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows cover less than one word in twenty."""
+    """Documents without any word of a benchmark window: a long text that holds a test item whole goes too."""
     p = fresh_prefix(docs.columns)
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"), with_spans=False, carry=docs.columns, prefix=p).filter(~F.col(f"{p}contaminated")).select(*docs.columns)
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), with_spans=False, carry=docs.columns, prefix=p, share=(0, 1))
+    return found.filter(~F.col(f"{p}contaminated")).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
