@@ -98,7 +98,7 @@ def plain_score(m, text):
     def margin(word):
         full, best = f"^{word}$", -np.inf
         last = max(0, len(full) - toxicity.WINDOW)
-        for at in {*range(0, last, toxicity.STRIDE), last}:
+        for at in range(last + 1):
             w, total, norm = full[at : at + toxicity.WINDOW], 0.0, 0.0
             for i in range(len(w)):
                 for k in range(i + 2, min(len(w), i + toxicity.MAX_SPAN)):

@@ -38,11 +38,12 @@ ACTIVE, OTHERS = 0.4, 20_000
 FLOOR = -1.0
 #: Margins below this are not told apart in a document.
 HIGH = -0.25
-#: Longer words are read in windows of so many characters, marks included, STRIDE apart: any run of
-#: WINDOW - STRIDE + 1 characters stands in one of them.
+#: Longer words are read in all windows of so many characters, marks included; to train, in windows STRIDE apart.
 WINDOW, STRIDE = 10, 2
+#: Characters of the words that are scored in one step (a longer word is a step).
+STEP_CHARS = 20_000
 #: Bytes of the words that a worker remembers in one of two generations; bounds memory only.
-CACHE_BYTES = 16 << 20
+CACHE_BYTES = 24 << 20
 #: Bytes that Python needs for an entry beside its text.
 _ENTRY = 200
 _SENTENCE = re.compile(r"[.!?]+\s|\n")
@@ -130,19 +131,36 @@ class Machine:
         return out
 
     def margins(self, words: list[str]) -> np.ndarray:
-        """Margins of words of letters; a long word has that of its most toxic window."""
-        split = [windows(w) for w in words]
-        if not split:
-            return np.zeros(0)
-        first = np.cumsum([0, *map(len, split)])[:-1]
-        pieces = [x for p in split for x in p]
-        order = np.argsort([len(w) for w in pieces], kind="stable")
-        result = np.full(len(pieces), self.bias)
-        for k in range(0, len(pieces), 2000):
-            part = order[k : k + 2000]
-            c, x = codes([pieces[i] for i in part])
-            result[part] += (x * self.weights(c)).sum(1)
-        return np.maximum.reduceat(result, first)
+        """Margins of words of letters; a long word has that of its most toxic window, of all its windows."""
+        full = [f"^{w}$" for w in words]
+        size = np.array([len(w) for w in full], np.int64)
+        order = np.argsort(size, kind="stable")
+        result = np.full(len(words), self.bias)
+        at = 0
+        while at < len(order):  # words of about one length, so that the arrays of a step stay small
+            near = size[order[at : at + STEP_CHARS // 2]]
+            stop = at + max(1, int(np.searchsorted(near * np.arange(1, len(near) + 1), STEP_CHARS, "right")))
+            part = order[at:stop]
+            result[part] += self._best([full[k] for k in part.tolist()], size[part])
+            at = stop
+        return result
+
+    def _best(self, full: list[str], size: np.ndarray) -> np.ndarray:
+        """The greatest normed sum over a window of each word: sums of weights by place and span, run over the places."""
+        width = int(size.max())
+        chars = np.array(full, dtype=f"<U{width}").view(np.uint32).reshape(len(full), -1).astype(np.uint64)
+        sums = np.zeros((len(full), max(1, width - WINDOW + 1)))
+        for b in range(2, min(MAX_SPAN, width)):
+            ends = chars[:, : width - b] << np.uint64(42) | chars[:, b:]
+            here = np.zeros(ends.shape)
+            for a in range(1, b):
+                here += self.weights(ends | chars[:, a : width - b + a] << np.uint64(21))
+            here *= DECAY ** (b + 1) * (np.arange(width - b) + b < size[:, None])
+            run = np.concatenate([np.zeros((len(full), 1)), np.cumsum(here, 1)], 1)
+            first = np.arange(sums.shape[1])
+            sums += run[:, np.minimum(first + WINDOW - b, width - b)] - run[:, first]
+        sums[np.arange(sums.shape[1]) > np.maximum(size - WINDOW, 0)[:, None]] = -np.inf
+        return sums.max(1) / _NORM[np.minimum(size, WINDOW)]
 
     def learn(self, words: set[str]) -> dict[str, tuple[float, ...]]:
         """Margins by word as it stands in a text.
@@ -188,6 +206,10 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(np.c_[np.ones(len(texts)), self.features(texts)] @ self.logistic, -30, 30)))
 
 
+#: The norm of a window of so many characters: the root of the sum of squares of its subsequences' weights.
+_NORM = np.array([np.sqrt(sum((b - 1) * max(0, n - b) * DECAY ** (2 * b + 2) for b in range(2, MAX_SPAN))) or 1.0 for n in range(WINDOW + 1)])
+
+
 def _slot(code: np.ndarray) -> np.ndarray:
     return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SIEVE)).astype(np.int64)
 
