@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.common import parallelism, text_buffer
+from weir.llm.common import claim, parallelism, text_buffer
 
 #: Chunks and buckets for each shuffle partition, and the stored bytes below which neither is split further: the
 #: blobs are as many as chunks times buckets at most, so they must not multiply where partitions are many and small.
@@ -44,6 +44,7 @@ class Chunk:
     """The documents of a chunk in the order (id, text); fully repeated rows stand side by side."""
 
     def __init__(self, rows: pa.Table):
+        claim("blobs")
         rows = rows.sort_by([("id", "ascending"), ("text", "ascending")]) if rows.num_rows > 1 else rows
         self.number = rows.column("chunk")[0].as_py()
         self.ids = rows.column("id").combine_chunks()

@@ -51,6 +51,18 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_owner: tuple[str, Callable[[], None]] = ("", lambda: None)
+
+
+def claim(name: str, forget: Callable[[], None] = lambda: None) -> None:
+    """Called by an operator's task in its worker. Workers outlive stages; what the operator before has remembered
+    there goes when the worker turns to another one."""
+    global _owner
+    if _owner[0] != name:
+        _owner[1]()
+    _owner = (name, forget)
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weir.llm.common import claim
+
 SPACE = "▁"
 #: Bytes of the words, and of the parts of words, that a worker remembers in one generation, and the number of pairs.
 #: This bounds memory only: a full generation becomes the old one, whose words are taken over when they come again, and
 #: the one before it goes.
-WORD_BYTES, PART_BYTES = 24 << 20, 12 << 20
+WORD_BYTES, PART_BYTES = 36 << 20, 18 << 20
 CACHE_PAIRS = 300_000
 #: Bytes that Python needs for an entry beside its text: slots of the table, headers of its objects.
 _ENTRY = 170
@@ -242,6 +244,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     def run(batches):
         enc = encoder(model_path)
+        claim(f"pieces {model_path}", enc.forget)
         for batch in batches:
             n, a, b, full, back = [], [], [], [], []
             for text in batch.column(1):
@@ -255,14 +258,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(full, pa.list_(pa.int32())), pa.array(back, pa.string())] if ids else []), names=names)
 
-    def run_and_forget(batches):
-        """Workers outlive a stage, so what one has remembered goes with the task."""
-        try:
-            yield from run(batches)
-        finally:
-            encoder(model_path).forget()
-
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if ids else [])]
     schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids else "")
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run_and_forget, schema).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.common import held_out, labelled_sample
+from weir.llm.common import claim, held_out, labelled_sample
 
 DECAY, MAX_SPAN = 0.6, 6
 LANDMARKS_FOR, LANDMARKS_AGAINST = 112, 80
@@ -414,6 +414,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     kept = list(dict.fromkeys([id_col, *(carry or [])]))
 
     def run(batches):
+        claim("toxicity")
         for batch in batches:
             text = batch.column(text_col)
             scores = [machine.value.scores([t.as_py() or "" for t in text.slice(k, 256)]) for k in range(0, len(text), 256)]
