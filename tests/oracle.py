@@ -19,7 +19,7 @@ def same(df, con: duckdb.DuckDBPyConnection, sql: str) -> None:
     want = con.sql(sql)
     cols = sorted(df.columns)
     assert sorted(want.columns) == cols
-    kinds = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "date": "DATE", "decimal(18,0)": "DECIMAL(18,0)"}
     types = dict(zip(want.columns, map(str, want.types), strict=True))
     assert {c: kinds[k] for c, k in df.dtypes} == types
     a = sorted(tuple(map(repr, (r[c] for c in cols))) for r in df.collect())

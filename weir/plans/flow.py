@@ -199,6 +199,8 @@ class Flow:
                     waiting = []
                     if not running:
                         break
+                if self._cancelled.is_set() and self.spark is not None:  # again, for a job that had not begun when the flow was cancelled
+                    self.spark.sparkContext.cancelJobsWithTag(self._tag)
                 for f in wait(running, timeout=0.05 if self._cancelled.is_set() or error is None else None, return_when=FIRST_COMPLETED).done:
                     c = running.pop(f)
                     e = f.exception()

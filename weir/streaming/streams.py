@@ -33,10 +33,31 @@ def follow(df: DataFrame, consume: Callable[[DataFrame, int], None], checkpoint:
 
 
 def flush(query: StreamingQuery) -> None:
-    """Write what has come so far, now."""
+    """Wait until what has come so far is written, at the stream's own intervals."""
     query.processAllAvailable()
 
 
+class Follower:
+    """A followed stream that can be flushed between its intervals: a partial batch is written at once."""
+
+    def __init__(self, df: DataFrame, consume: Callable[[DataFrame, int], None], checkpoint: str, seconds: float = FLUSH_SECONDS, mode: str = "append"):
+        self._args = (df, consume, checkpoint)
+        self.seconds, self.mode = seconds, mode
+        self.query = follow(*self._args, seconds, mode)
+
+    def flush(self) -> None:
+        """Write what has come so far, now: the stream is drained from where it is, and followed again."""
+        self.stop()
+        drain(*self._args, mode=self.mode)
+        self.query = follow(*self._args, self.seconds, self.mode)
+
+    def stop(self) -> None:
+        """Stop after the micro-batch that is running, if one is."""
+        while self.query.isActive and self.query.status["isTriggerActive"]:
+            time.sleep(0.05)
+        self.query.stop()
+
+
 def stop_when_idle(query: StreamingQuery, timeout: float, poll: float = 0.2) -> bool:
     """Stop a stream that no row has reached for `timeout` seconds. True if it was stopped, False if it had ended."""
     last, since = None, time.monotonic()
