@@ -77,6 +77,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = stored(rows)
     alive = rows.filter("on")
     groups = alive.groupBy("n", "p", "h").agg(F.count("*").alias("size"), F.max(F.struct("id", "row")).alias("top")).filter("size > 1")
+    groups = stored(groups)  # so that both sides of the join are plain shuffles, which can be split at a hot key
     r, g = alive.alias("r"), groups.alias("g")
     grouped = r.join(g, (F.col("r.n") == F.col("g.n")) & (F.col("r.p") == F.col("g.p")) & (F.col("r.h") == F.col("g.h")), "left").select("r.id", "r.row", "r.h", "g.size", "g.top")
     alone = rows.filter("NOT on").select("id", "row", "h", F.lit(None).cast("bigint").alias("size"), F.lit(None).cast(groups.schema["top"].dataType).alias("top"))
@@ -108,7 +109,7 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     top = alive.groupBy(f"{q}h").agg(F.max(F.col(id_col)).alias(f"{q}top"))
     top = top.select(f"{q}h", F.col(f"{q}top").isNotNull().alias(f"{q}there"), F.coalesce(F.col(f"{q}top").cast("string"), F.lit("")).alias(f"{q}id"))
     on = [f"{q}h", f"{q}there", f"{q}id"]
-    return alone.unionByName(alive.join(top, on, "left_semi").dropDuplicates(on).select(*docs.columns))
+    return alone.unionByName(alive.join(stored(top), on, "left_semi").dropDuplicates(on).select(*docs.columns))
 
 
 ORACLE = """
