@@ -50,7 +50,7 @@ def test_random_items_in_one_or_more_blocks(spark, block):
     texts = [text(rnd.choice([0, 3, 30, 90])) for _ in range(40)] + [None, "", "..."]
     items = [(k, text(rnd.choice([0, 2, 4, 9]))) for k in range(25)] + [(None, "b b b b"), (3, None), (4, "a b C a b"), (4, "a b C a b")]
     bench = spark.createDataFrame(items, "item_id int, text string")
-    got = {r.doc_id: r for r in decontaminate(docs(spark, enumerate(texts)), bench, window=4, block_bytes=block).collect()}
+    got = {r.doc_id: r for r in decontaminate(docs(spark, enumerate(texts)), bench, window=4, nodes=block).collect()}
     for k, (w, hit, ids) in enumerate(brute(texts, items, 4)):
         r = got[k]
         assert (r.n_words, r.n_hit, r.item_ids, r.n_items) == (len(w), len(hit), ids, len(ids))
@@ -65,3 +65,22 @@ def test_edges(spark):
     assert decontaminate(edge_docs(spark), bench.limit(0)).filter("n_hit > 0").count() == 0
     assert decontaminate(empty_docs(spark), bench).count() == 0
     assert set(r.d_n_words for r in out.filter("text IS NULL OR text = ''").collect()) == {0}
+
+
+def test_memory_of_a_node():
+    """A block of NODES stays under 500 MB: what 200,000 nodes take, scaled. Word numbers beyond 16 bits are told apart."""
+    import os
+
+    from weir.llm.decontamination import NODES, Items
+
+    def rss():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    rnd = random.Random(1)
+    items = [(str(k), " ".join(f"w{rnd.randint(0, 200_000)}" for _ in range(100))) for k in range(1300)]
+    before = rss()
+    found = Items(items, 13)
+    nodes = 1300 * 88 * 26
+    assert (rss() - before) / nodes * NODES < 500 << 20
+    assert len(found.letters) > 70_000 and found.scan("x " + items[7][1] + " x")[2] == ["7"] and found.scan(" ".join(items[7][1].split()[:12]))[2] == []

@@ -1,9 +1,16 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the normalised test items, one scan of each text."""
+"""Benchmark decontamination: one Aho-Corasick automaton over the normalised test items, one scan of each text.
+
+The automaton reads words: each word of the items has a number, which is written as two letters, so that no node has more
+followers than the root of the number of words. Any other word of a text has letters that no window has. So a window of 13
+words is 26 nodes, and a match ends at a word's place, from where it is mapped to the original text.
+"""
 
 from __future__ import annotations
 
 import hashlib
-from itertools import repeat
+import uuid
+from itertools import chain, repeat
+from math import isqrt
 
 import ahocorasick
 import numpy as np
@@ -12,15 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weir.llm.common import stored
+from weir.llm.common import claim, stored
 
 #: Words of a window.
 WINDOW = 13
-#: Bytes of item text that one automaton may hold. A larger benchmark is scanned for in blocks of items.
-BLOCK_BYTES = 8 << 20
+#: Nodes that one automaton may have, under 100 bytes each. A larger benchmark is scanned for in blocks of items.
+NODES = 4_000_000
 #: Columns that carry what earlier blocks have found.
 _HIT, _IDS = "hit_so_far", "ids_so_far"
 #: Non-ASCII bytes and ASCII letters and digits make words; all else separates them.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -28,46 +36,62 @@ def normal_words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TABLE).split()
 
 
-def windows(words: list[bytes], width: int) -> list[bytes]:
-    if not words:
-        return []
-    return [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
-
-
-def automaton(items: list[tuple[str, str | None]], width: int) -> tuple[ahocorasick.Automaton | None, list[tuple[int, tuple[str, ...]]]]:
-    """The automaton over every item's windows; its values index (words of the window, item ids that have it)."""
-    owners: dict[bytes, set[str]] = {}
-    for item, text in items:
-        for w in windows(normal_words(text), width):
-            owners.setdefault(w, set()).add(item)
-    a, info = ahocorasick.Automaton(), []
-    for w, ids in owners.items():
-        a.add_word(f" {w.decode('latin-1')} ", len(info))
-        info.append((w.count(b" ") + 1, tuple(sorted(ids))))
-    if not info:
-        return None, info
-    a.make_automaton()
-    return a, info
-
-
-def scan(text: str | None, a: ahocorasick.Automaton | None, info: list[tuple[int, tuple[str, ...]]]) -> tuple[int, np.ndarray, list[str]]:
-    """(words, indexes of the words that are hit, ids of the items with windows in the text)."""
-    words = normal_words(text)
-    if a is None or not words:
-        return len(words), np.zeros(0, np.int64), []
-    flat = b" " + b" ".join(words) + b" "
-    found = list(a.iter(flat.decode("latin-1")))
-    if not found:
-        return len(words), np.zeros(0, np.int64), []
-    gaps = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
-    end = np.searchsorted(gaps, [x[0] for x in found])  # the word after which the window ends
-    cover = np.zeros(len(words) + 1, np.int64)
-    np.add.at(cover, end - [info[x[1]][0] for x in found], 1)
-    np.add.at(cover, end, -1)
-    ids = set()
-    for k in {x[1] for x in found}:
-        ids.update(info[k][1])
-    return len(words), np.flatnonzero(np.cumsum(cover[:-1]) > 0), sorted(ids)
+def windows(words: tuple, width: int) -> list[tuple]:
+    return [words[i : i + width] for i in range(max(1, len(words) - width + 1))] if words else []
+
+
+#: The letters of a word that no item has.
+_OTHER = (0, 0)
+
+
+class Items:
+    """The automaton over every item's windows, and what each window's items are."""
+
+    def __init__(self, items: list[tuple[str, str | None]], width: int):
+        number: dict[bytes, int] = {}
+        owners: dict[tuple[int, ...], set[str]] = {}
+        for item, text in items:
+            found = tuple(number.setdefault(w, len(number)) for w in normal_words(text))
+            for w in windows(found, width):
+                owners.setdefault(w, set()).add(item)
+        base = isqrt(len(number)) + 1
+        letters = [(n // base + 1, n % base + base + 1) for n in range(len(number))]
+        self.letters = {w: letters[n] for w, n in number.items()}
+        self.ids = [tuple(sorted(x)) for x in owners.values()]
+        self.trie = None
+        if owners:
+            self.trie = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            for k, w in enumerate(owners):
+                self.trie.add_word(tuple(chain.from_iterable(letters[n] for n in w)), (k, len(w)))
+            self.trie.make_automaton()
+
+    def scan(self, text: str | None) -> tuple[int, np.ndarray, list[str]]:
+        """(words, indexes of the words that are hit, ids of the items with windows in the text)."""
+        words = normal_words(text)
+        none = len(words), np.zeros(0, np.int64), []
+        if self.trie is None or not words:
+            return none
+        found = list(self.trie.iter(tuple(chain.from_iterable(map(self.letters.get, words, repeat(_OTHER))))))
+        if not found:
+            return none
+        end = np.array([x[0] for x in found]) // 2 + 1  # the place after the window's last word
+        cover = np.zeros(len(words) + 1, np.int64)
+        np.add.at(cover, end - [x[1][1] for x in found], 1)
+        np.add.at(cover, end, -1)
+        ids = {i for k in {x[1][0] for x in found} for i in self.ids[k]}
+        return len(words), np.flatnonzero(np.cumsum(cover[:-1]) > 0), sorted(ids)
+
+
+_built: dict[tuple, Items] = {}
+
+
+def built(key: tuple, items: list[tuple[str, str | None]], width: int) -> Items:
+    """The block's automaton, built once in a worker. The one before goes first, so there is one at a time."""
+    claim("items", _built.clear)
+    if key not in _built:
+        _built.clear()
+        _built[key] = Items(items, width)
+    return _built[key]
 
 
 def spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
@@ -82,20 +106,23 @@ def spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(int(chars[begin[f]]), int(chars[end[k]])) for f, k in zip(first, last, strict=True)]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, with_spans: bool = True, carry: list[str] | None = None, share: tuple[int, int] = (1, 20), block_bytes: int = BLOCK_BYTES, prefix: str = "") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, with_spans: bool = True, carry: list[str] | None = None, share: tuple[int, int] = (1, 20), nodes: int = NODES, prefix: str = "") -> DataFrame:
     """One row per document: its id, n_words, n_hit, n_items, item_ids, contaminated[, spans][, carried columns].
 
     A document is contaminated when n_hit > 0 and n_hit / n_words is at least share. Null and empty texts have no
     words and no hits, an item without words matches nothing, repeated rows of either table are each scanned or
     count once; a null item id is read as the text "null". A prefix keeps new columns apart from carried ones of their name. Spans are character offsets into the original text.
 
-    The benchmark is a stated query set: its size is measured first, and beyond block_bytes it is scanned for in
+    Very long texts are scanned whole.
+
+    The benchmark is a stated query set: its nodes are counted first, and beyond `nodes` it is scanned for in
     blocks, one automaton each, whose hits are joined by word position, so what a task holds stays bounded.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.col(item_text).alias("t"))
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
+    n = F.regexp_count(F.coalesce("t", F.lit("")), F.lit(_WORD))
+    total = items.agg(F.sum(F.when(n > 0, 2 * F.least(n, F.lit(window)) * F.greatest(F.lit(1), n - (window - 1))))).first()[0] or 0
+    blocks = max(1, -(-total // nodes))
     kept = list(dict.fromkeys([id_col, *(carry or [])]))
     kinds = {f.name: f for f in docs.schema.fields}
     num, den = share
@@ -111,15 +138,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     def step(block: int):
         rows = [(r.i, r.t) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()]
         sent, first, last = spark.sparkContext.broadcast(rows), block == 0, block == blocks - 1
+        key = (uuid.uuid4().hex, block)
 
         def run(batches):
-            a, info = automaton(sent.value, window)
+            found = built(key, sent.value, window)
             for batch in batches:
                 out = []
                 before = zip(batch.column(prefix + _HIT).to_pylist(), batch.column(prefix + _IDS).to_pylist(), strict=True) if not first else repeat(([], []))
                 for text, (had, ids_had) in zip(batch.column(text_col), before, strict=False):
                     text = text.as_py()
-                    n, hit, ids = scan(text, a, info)
+                    n, hit, ids = found.scan(text)
                     if had:
                         hit = np.union1d(hit, np.array(had, np.int64))
                     ids = sorted({*ids, *ids_had})
