@@ -97,7 +97,7 @@ def test_stretches_do_not_depend_on_blocks(monkeypatch):
 
     def places(c):
         at = suffix_dedup._places(c.begin, c.count)
-        return dict(zip(at.tolist(), np.repeat(c.least, c.count).tolist(), strict=True))
+        return dict(zip(at.tolist(), np.repeat(c.half, c.count).tolist(), strict=True))
 
     whole = suffix_dedup.Stretches(rows, 40)
     monkeypatch.setattr(suffix_dedup, "BLOCK", 700)
@@ -113,5 +113,29 @@ def test_ranks_are_the_suffix_order(length):
     cut = [raw[k : k + length] for k in want]
     order = {s: k for k, s in enumerate(sorted(set(cut)))}
     assert rank.tolist() == [order[s] for s in cut]
-    found = suffix_dedup.longest_previous(rank, want, length)
+    found = suffix_dedup.longest_previous(np.frombuffer(raw, np.uint8), rank, want, length)
     assert [x == length for x in found] == [s in cut[:k] for k, s in enumerate(cut)]
+
+
+def common(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("length, letters", [(5, b"ab"), (16, b"ab"), (30, b"abc"), (12, b"a"), (9, bytes(range(256)))])
+def test_longest_previous_factors_are_those_of_all_pairs(length, letters):
+    rnd = random.Random(length)
+    raw = bytes(rnd.choice(letters) for _ in range(300))
+    raw += raw[40:120] + b"\0\xff" + raw[:30]
+    want = np.sort(np.array(rnd.sample(range(len(raw) - length + 1), 250)))
+    text = np.frombuffer(raw, np.uint8)
+    rank = suffix_dedup.ranks(text, np.full(len(raw), len(raw)), length, want)
+    found = suffix_dedup.longest_previous(text, rank, want, length)
+    cut = [raw[k : k + length] for k in want]
+    assert found.tolist() == [max((common(cut[j], s) for j in range(k)), default=0) for k, s in enumerate(cut)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 17, 64, 65, 300])
+def test_previous_smaller(n):
+    for x in (np.random.default_rng(n).permutation(n), np.arange(n), np.arange(n)[::-1].copy()):
+        got = suffix_dedup.previous_smaller(x)
+        assert got.tolist() == [max((j for j in range(k) if x[j] < x[k]), default=-1) for k in range(n)]

@@ -1,12 +1,13 @@
 """Suffix-array dedup: longest previous factors on the bytes of all texts, removing later copies, keeping the first.
 
 A string of `length` bytes that occurs twice has the same smallest hash among its 16-byte grams in both places. So
-each text is cut into *stretches*, runs of starting places whose leftmost smallest gram is the same one, and all
-copies of a string meet in the bucket of its hash. A first round finds the stretches of which one half, the gram with
-the bytes before or after it, occurs again at all (a few bytes for each stretch, one for about 43 bytes of text), a
-second sends those stretches to the bucket, which sorts their suffixes into a suffix array and takes the longest previous factor of each place from its previous and next
-smaller positions. Only whether that is `length` or more matters, so suffixes are ordered, and compared, by their
-first `length` bytes, and equal ones stay by position.
+each text is cut into *stretches*, runs of starting places whose leftmost smallest gram is the same one. Each string of a
+stretch has a half that all its copies have too: the gram with the bytes before it, or after it. A first round finds the
+halves that occur again at all (a few bytes for each, one for about 25 bytes of text), a second sends the strings that have
+them, as one piece of text for a half, to the bucket of the half's hash. There all pieces of a half are one text: its
+suffixes are sorted into a suffix array, the previous and next smaller positions in that order are found, and the longer
+common prefix with either is the longest previous factor. A place whose factor is `length` or more starts a copy.
+Factors are cut at `length`, so suffixes are ordered by their first `length` bytes, and equal ones by position.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ KEY_BYTES = 4
 #: Bits of a gram's hash that give way to its place in a block, and the bytes of a block.
 PLACE_BITS = 24
 BLOCK = 8 << 20
+#: Bytes of pieces that are sorted at once, if they aren't all of one half.
+BATCH = 1 << 19
 _C = stream(2, 9) | U64(1)
 
 
@@ -57,7 +60,8 @@ def window_minimum(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def stretches(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(first place, places, hash, hashes of either half and whether they count) of the stretches in a buffer.
+    """(first place, places, how many of them, the first ones, have the left half, the halves' hashes) of the stretches in
+    a buffer.
 
     Places are those from first to before last of each document. A string of `length` bytes has either the bytes of
     its gram and as many before it as `half`, or the gram and enough after it; those are the halves.
@@ -67,7 +71,7 @@ def stretches(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int
     marked |= np.arange(len(gram), dtype=U64)  # so the least is the leftmost of equal ones, and says where it stands
     low = window_minimum(marked, length - GRAM + 1)
     if not len(low) or not len(first):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), *[np.zeros(0, U64)] * 3, *[np.zeros(0, bool)] * 2
+        return *[np.zeros(0, np.int64)] * 3, *[np.zeros(0, U64)] * 2
     edge = np.zeros(len(low) + 1, np.int32)
     np.add.at(edge, first, 1)
     np.add.at(edge, last, -1)
@@ -86,11 +90,11 @@ def stretches(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int
         for k in steps:
             total = mix(total + gram[np.clip(place + k, 0, len(gram) - 1)])
         sides.append(total)
-    return at, end - at, mix(low[at] >> U64(PLACE_BITS)), sides[0], ~sides[1], at <= place - half, end - 1 > place - half
+    return at, end - at, np.clip(place - half + 1 - at, 0, end - at), sides[0], ~sides[1]
 
 
 class Stretches(Chunk):
-    """A chunk with the stretches of its documents: first place, number of places, smallest hash."""
+    """A chunk with the parts of its documents' stretches, in order: first place, number of places, hash of their half."""
 
     def __init__(self, rows: pa.Table, length: int):
         super().__init__(rows)
@@ -105,26 +109,27 @@ class Stretches(Chunk):
                 found.append((one[0] + at, *one[1:]))
         if not found:
             found.append(stretches(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), length))
-        self.begin, self.count, self.least, self.left, self.right, self.has_left, self.has_right = (np.concatenate(x) for x in zip(*found, strict=True))
+        begin, count, before, left, right = (np.concatenate(x) for x in zip(*found, strict=True))
+        # a stretch is two parts at most, side by side
+        self.begin = np.stack([begin, begin + before], 1).ravel()
+        self.count = np.stack([before, count - before], 1).ravel()
+        self.half = np.stack([left, right], 1).ravel()
+        there = self.count > 0
+        self.begin, self.count, self.half = self.begin[there], self.count[there], self.half[there]
 
     def keys(self, buckets: int) -> Keys:
-        return Keys(np.concatenate([self.left[self.has_left], self.right[self.has_right]]), buckets, KEY_BYTES)
+        return Keys(self.half, buckets, KEY_BYTES)
 
     def again(self, answer: pa.Table, buckets: int) -> np.ndarray:
-        """Whether a stretch has a half that occurs again."""
-        found = self.keys(buckets).repeated(answer)
-        out = np.zeros(len(self.begin), bool)
-        n = int(np.count_nonzero(self.has_left))
-        out[self.has_left] = found[:n]
-        out[self.has_right] |= found[n:]
-        return out
+        """Whether a part's half occurs again."""
+        return self.keys(buckets).repeated(answer)
 
 
 STRETCH_ROWS = "bucket int, chunk int, keys binary, ids binary, counts binary, text binary"
 
 
 class Sent:
-    """Stretches whose hash occurs again. Of equal ones in the chunk the first is sent, the others are copies."""
+    """Parts whose half occurs again. Of equal ones in the chunk the first is sent, the others are copies."""
 
     def __init__(self, chunk: Stretches, again: np.ndarray, buckets: int):
         at = np.flatnonzero(again)
@@ -140,7 +145,7 @@ class Sent:
                 seen.add(piece)
                 bits.append(piece)
         self.copies, at = at[~fresh], at[fresh]
-        bucket = (chunk.least[at] >> U64(64 - buckets.bit_length() + 1)).astype(np.int64)
+        bucket = (chunk.half[at] >> U64(64 - buckets.bit_length() + 1)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         self.at, self.chunk = at[order], chunk
         self.text = [bits[k] for k in order.tolist()]
@@ -152,7 +157,7 @@ class Sent:
         ids = c.order[np.searchsorted(c.off, c.begin[self.at], "right") - 1]
         part = lambda x: pa.array([x[a:b].tobytes() for a, b in spans], pa.binary())
         return pa.table({
-            "bucket": pa.array(self.buckets, pa.int32()), "chunk": pa.array([c.number] * len(spans), pa.int32()), "keys": part(c.least[self.at]),
+            "bucket": pa.array(self.buckets, pa.int32()), "chunk": pa.array([c.number] * len(spans), pa.int32()), "keys": part(c.half[self.at]),
             "ids": part(ids), "counts": part(c.count[self.at]), "text": pa.array([b"".join(self.text[a:b]) for a, b in spans], pa.binary()),
         })
 
@@ -196,13 +201,58 @@ def ranks(text: np.ndarray, piece_end: np.ndarray, length: int, want: np.ndarray
     return rank[want]
 
 
-def longest_previous(rank: np.ndarray, position: np.ndarray, length: int) -> np.ndarray:
-    """min(longest previous factor, length) or 0 for less. In suffix order, equal suffixes by position, the previous
-    smaller position of a suffix is its left neighbour if that is equal, and no other smaller position is; the next
-    smaller position is then never equal. So one comparison to the left decides."""
+def previous_smaller(x: np.ndarray) -> np.ndarray:
+    """For each place the nearest one before it with a smaller value, or -1: a descent in a table of minima."""
+    n = len(x)
+    low = [x]  # low[k][i]: the least of the 2**k values that end at i + 2**k - 1
+    while 2 << (len(low) - 1) <= n:
+        gap = 1 << (len(low) - 1)
+        low.append(np.minimum(low[-1][:-gap], low[-1][gap:]))
+    at = np.arange(-1, n - 1)
+    for k in range(len(low) - 1, -1, -1):
+        begin = at - (1 << k) + 1
+        jump = begin >= 0
+        jump[jump] = low[k][begin[jump]] > x[jump]
+        at[jump] -= 1 << k
+    return at
+
+
+def common_prefix(eight: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Bytes that the suffixes at a and at b have in common, cut at `length`. eight: 8 bytes from each place, as numbers."""
+    out = np.full(len(a), length, np.int64)
+    left = np.arange(len(a))
+    for k in range(0, length, 8):
+        differ = eight[a[left] + k] ^ eight[b[left] + k]
+        found = np.flatnonzero(differ)
+        x, same = differ[found], np.full(len(found), k, np.int64)
+        for bits in range(8, 64, 8):
+            same += x < U64(1 << bits)
+        out[left[found]] = same
+        left = left[differ == 0]
+        if not len(left):
+            break
+    return np.minimum(out, length)
+
+
+def longest_previous(text: np.ndarray, rank: np.ndarray, position: np.ndarray, length: int) -> np.ndarray:
+    """The longest previous factor of each suffix, cut at `length`: the most bytes in common with one at a smaller position.
+
+    rank orders the suffixes, equal ones go by position. Of all suffixes at smaller positions the nearest to either side in
+    that order have the longest prefix in common.
+    """
+    padded = np.concatenate([text, np.zeros(length + 16, np.uint8)]).astype(U64)
+    two = padded[:-1] << U64(8) | padded[1:]
+    four = two[:-2] << U64(16) | two[2:]
+    eight = four[:-4] << U64(32) | four[4:]
     order = np.lexsort((position, rank))
-    out = np.zeros(len(rank), np.int64)
-    out[order[1:]] = np.where(rank[order[1:]] == rank[order[:-1]], length, 0)
+    p = position[order]
+    sides = previous_smaller(p), len(p) - 1 - previous_smaller(p[::-1])[::-1]
+    best = np.zeros(len(p), np.int64)
+    for side in sides:
+        there = np.flatnonzero((side >= 0) & (side < len(p)))
+        best[there] = np.maximum(best[there], common_prefix(eight, p[there], p[side[there]], length))
+    out = np.empty(len(p), np.int64)
+    out[order] = best
     return out
 
 
@@ -218,7 +268,7 @@ def factors(length: int):
         raw = b"".join(rows.column("text").to_pylist())
         size = count + length - 1
         ends = np.cumsum(size)
-        order = np.lexsort((ids, keys))  # stable; by hash first: only stretches of one hash can share a string
+        order = np.lexsort((ids, keys))  # stable; by hash first: only pieces of one half can share a string
         bits = np.zeros(int(count.sum()), bool)
         out_at = np.cumsum(count) - count
         # equal stretches: the first stays in play, later ones are copies in full
@@ -234,7 +284,7 @@ def factors(length: int):
                 seen.add(piece)
                 live.append(k)
         live = np.array(live)
-        # a hash with one live stretch has nothing to compare: two equal strings have their least grams in two places
+        # a half with one live piece has nothing to compare: two equal strings have their least grams in two places
         alone = np.ones(len(live), bool)
         same = keys[live[1:]] == keys[live[:-1]]
         alone[1:] &= ~same
@@ -242,9 +292,9 @@ def factors(length: int):
         live = live[~alone]
         buffer = np.frombuffer(raw, np.uint8)
         at, batch = 0, 0
-        while at < len(live):  # whole hashes, about 1 MB of suffixes at a time
+        while at < len(live):  # all pieces of a half, and of several small ones, at a time
             stop, batch = at, 0
-            while stop < len(live) and (batch < 1 << 20 or keys[live[stop]] == keys[live[stop - 1]]):
+            while stop < len(live) and (batch < BATCH or keys[live[stop]] == keys[live[stop - 1]]):
                 batch += int(size[live[stop]])
                 stop += 1
             part = live[at:stop]
@@ -252,7 +302,7 @@ def factors(length: int):
             text = buffer[_places(ends[part] - size[part], size[part])]
             end = np.repeat(np.cumsum(size[part]), size[part])
             want = _places(np.cumsum(size[part]) - size[part], count[part])
-            found = longest_previous(ranks(text, end, length, want), want, length) >= length
+            found = longest_previous(text, ranks(text, end, length, want), want, length) >= length
             bits[_places(out_at[part], count[part])] |= found
         edge = np.concatenate([[0], np.cumsum([int(c.sum()) for c in counts])])
         packed = [pack(bits[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
@@ -270,8 +320,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     fully repeated rows are documents of their own, so all but one lose all their strings. Texts are taken whole,
     ids are read as bigint, and other columns aren't looked at.
 
-    A stretch that is frequent in a chunk is sent once from it, and equal stretches are told apart before sorting, so
-    a hot passage is sorted once however often it occurs.
+    A piece that is frequent in a chunk is sent once from it, and equal pieces are told apart before sorting, so
+    a hot passage is sorted once however often it occurs. A gram with many surroundings is parted by its halves, of 58
+    bytes at a length of 100; only text whose halves, too, have very many different surroundings meets in one bucket.
     """
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM}")
