@@ -66,3 +66,62 @@ def test_edges(spark):
     out = scan_licences(edge_docs(spark))
     assert out.count() == edge_docs(spark).count() and out.filter("n_known > 0").count() == 0
     assert scan_licences(empty_docs(spark)).count() == 0
+
+
+#: Notices as they stand in files, written down apart from the table: comment marks, wrapped lines, other words around them.
+IN_FILES = [
+    ("Apache-2.0", "/*\n * Copyright 2019 The Authors.\n *\n * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n *\n *     http://www.apache.org/licenses/LICENSE-2.0\n *\n * Unless required by applicable law or agreed to in writing, software\n * distributed under the License is distributed on an \"AS IS\" BASIS,\n * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n * See the License for the specific language governing permissions and\n * limitations under the License.\n */\npackage x;"),
+    ("GPL-2.0-or-later", "/* foo.c -- does foo\n\n   This program is free software; you can redistribute it and/or\n   modify it under the terms of the GNU General Public License\n   as published by the Free Software Foundation; either version 2\n   of the License, or (at your option) any later version.\n\n   This program is distributed in the hope that it will be useful,\n   but WITHOUT ANY WARRANTY; without even the implied warranty of\n   MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n   GNU General Public License for more details. */"),
+    ("GPL-2.0-only", "// SPDX-License-Identifier: GPL-2.0\n#include <x.h>"),
+    ("GPL-3.0-or-later", "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\n# This program is distributed in the hope that it will be useful,\n# but WITHOUT ANY WARRANTY; without even the implied warranty of\n# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n# GNU General Public License for more details."),
+    ("LGPL-2.1-or-later", " * This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either\n * version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0-or-later", "-- This program is free software: you can redistribute it and/or modify\n-- it under the terms of the GNU Affero General Public License as\n-- published by the Free Software Foundation, either version 3 of the\n-- License, or (at your option) any later version."),
+    ("MPL-2.0", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"),
+    ("EPL-2.0", " * This program and the accompanying materials are made available under the\n * terms of the Eclipse Public License 2.0 which is available at\n * http://www.eclipse.org/legal/epl-2.0.\n *\n * SPDX-License-Identifier: EPL-2.0"),
+    ("ISC", "Copyright (c) 2011, A. Body\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans."),
+    ("BSL-1.0", "// Copyright 2004.\n// Distributed under the Boost Software License, Version 1.0.\n// (See accompanying file LICENSE_1_0.txt)"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied\nwarranty.  In no event will the authors be held liable for any damages\narising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:"),
+    ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2015 Somebody\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software."),
+    ("BSD-3-Clause", "# Copyright 2012. All the authors.\n# Use of this source code is governed by a BSD-style license that can be\n# found in the LICENSE file."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:\n\n   * Redistributions of source code must retain the above copyright\nnotice, this list of conditions and the following disclaimer.\n   * Redistributions in binary form must reproduce the above copyright\nnotice, this list of conditions and the following disclaimer in the\ndocumentation and/or other materials provided with the distribution.\n   * Neither the name of the copyright holder nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission."),
+    ("GPL-2.0-only", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991"),
+    ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions."),
+    ("CC-BY-4.0", "<p>This work is licensed under a Creative Commons Attribution 4.0 International License.</p>"),
+    ("MIT", "## License\nThis project is licensed under the MIT License."),
+    ("Proprietary", "(c) 2020 Some Company. All rights reserved."),
+]
+
+
+def test_recall_on_notices_of_files(spark):
+    got = found(spark, *(t for _, t in IN_FILES))
+    caught = sum(want in g for (want, _), g in zip(IN_FILES, got, strict=True))
+    assert caught >= 0.9 * len(IN_FILES), [(w, g) for (w, _), g in zip(IN_FILES, got, strict=True) if w not in g]
+    assert all(not set(g) - {w, "Proprietary"} for (w, _), g in zip(IN_FILES, got, strict=True))
+    prose = ["We use the GNU General Public License.", "The software is provided to members.", "Permission is granted to enter.", "version 2, June 1991", "See the License."]
+    assert found(spark, *prose) == [[]] * len(prose)
+
+
+def plain_matches(sequence, rules, gap):
+    """Ordered rules by trying every choice of places."""
+    from itertools import combinations
+
+    used, out = set(), []
+    for licence, needs in rules:
+        fits = sorted(c for c in combinations(range(len(sequence)), len(needs)) if all(sequence[k] == n for k, n in zip(c, needs, strict=True)) and all(b - a <= gap + 1 for a, b in zip(c, c[1:], strict=False)))
+        for c in fits:
+            if not used & set(c):
+                used |= set(c)
+                out.append((licence, c[0], c[-1]))
+    return sorted(out, key=lambda x: (x[1], x[2], x[0]))
+
+
+def test_rules_against_all_choices():
+    import random
+
+    rnd = random.Random(9)
+    rules = [("X", ("a", "b", "c")), ("Y", ("a", "b")), ("Z", ("c",)), ("X", ("d", "a"))]
+    for _ in range(400):
+        s = [rnd.choice("abcd..") for _ in range(rnd.randint(0, 9))]
+        got = match_rules([(k, x) for k, x in enumerate(s) if x != "."], rules, 0)
+        assert got == plain_matches(s, rules, 0), s
