@@ -53,13 +53,13 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], max_iterat
 
 
 def closure(edges: DataFrame, max_iterations: int = 1000) -> DataFrame:
-    """All pairs (src, dst) that a path of edges joins: reachability as a fixpoint over new pairs only."""
-    edges = edges.select("src", "dst").distinct()
-    known = stored(edges)
-    fresh = known
+    """All pairs (src, dst) that a path of edges joins: reachability as a fixpoint. Each round puts the pairs that the last
+    one found together with all pairs known, on either side, so the longest path doubles with each round."""
+    known = fresh = stored(edges.select("src", "dst").distinct())
     for _ in range(max_iterations):
-        longer = fresh.alias("a").join(edges.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst").distinct()
-        fresh = stored(longer.join(known, ["src", "dst"], "left_anti"))
+        after = fresh.alias("a").join(known.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
+        before = known.alias("a").join(fresh.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
+        fresh = stored(after.unionByName(before).distinct().join(known, ["src", "dst"], "left_anti"))
         if fresh.isEmpty():
             return known
         known = stored(known.unionByName(fresh))
