@@ -44,11 +44,16 @@ WINDOW, STRIDE = 10, 2
 STEP_CHARS = 20_000
 #: Bytes of the words that a worker remembers in one of two generations; bounds memory only.
 CACHE_BYTES = 24 << 20
+#: Texts that are scored together.
+BATCH = 512
 #: Bytes that Python needs for an entry beside its text.
-_ENTRY = 200
+_ENTRY = 130
 _SENTENCE = re.compile(r"[.!?]+\s|\n")
 _SPACED = re.compile(r"(?<!\S)[^\W\d_](?:[ ]+[^\W\d_](?!\S)){2,}")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
+#: Marks that often stand at a word's side; what is left of the word then needs no pattern.
+_MARKS = ".,;:!?\"'()[]"
+_LOW = (HIGH,)
 _GAPS = [(a, b) for b in range(2, MAX_SPAN) for a in range(1, b)]
 #: Bits of a table that tells most codes without a weight apart, before the exact search.
 _SIEVE = 20
@@ -163,39 +168,40 @@ class Machine:
         return sums.max(1) / _NORM[np.minimum(size, WINDOW)]
 
     def learn(self, words: set[str]) -> dict[str, tuple[float, ...]]:
-        """Margins by word as it stands in a text.
+        """Margins by word as it stands in a text; the words asked for are in it. What is no more than HIGH reads as HIGH.
 
         Of a word with parts there is a margin for each part, and that of all its letters as one word stands in the
         place of the greatest, if it is greater.
         """
-        out, new = {}, []
-        for w in words:
-            known = self.now.get(w)
+        if self.bytes > CACHE_BYTES:  # between two batches, so that a batch finds all its words
+            self.before, self.now, self.bytes = self.now, {}, 0
+        now, new, split, asked = self.now, [], [], []
+        for w in words.difference(now):
+            known = self.before.get(w)
             if known is None:
-                known = self.before.get(w)
-                if known is None:
-                    new.append(w)
-                    continue
-                self._put(w, known)
-            out[w] = known
-        split = [parts(w) for w in new]
-        got = self.margins([x for w, p in zip(new, split, strict=True) for x in (letters(w), *p)]).tolist()
+                core = w.strip(_MARKS)
+                some = [] if core.isalpha() else parts(w)
+                new.append(w)
+                split.append(len(some))
+                asked.append(core if core.isalpha() else letters(w))
+                asked += some
+            else:
+                now[w] = known
+                self.bytes += _ENTRY + len(w)
+        got = np.maximum(self.margins(asked), HIGH).tolist()
         at = 0
-        for w, p in zip(new, split, strict=True):
-            whole, rest = got[at], got[at + 1 : at + 1 + len(p)]
-            at += 1 + len(p)
-            if rest:
-                worst = max(range(len(rest)), key=rest.__getitem__)
+        for w, n in zip(new, split, strict=True):
+            if n:
+                whole, rest = got[at], got[at + 1 : at + 1 + n]
+                worst = max(range(n), key=rest.__getitem__)
                 rest[worst] = max(rest[worst], whole)
-            out[w] = tuple(rest) or (whole,)
-            self._put(w, out[w])
-        return out
-
-    def _put(self, word: str, margins: tuple[float, ...]) -> None:
-        self.bytes += _ENTRY + len(word) + 32 * len(margins)
-        if self.bytes > CACHE_BYTES:
-            self.now, self.before, self.bytes = {}, self.now, 0
-        self.now[word] = margins
+                now[w] = tuple(rest)
+                self.bytes += 32 * n
+            else:
+                now[w] = _LOW if got[at] == HIGH else (got[at],)
+            at += 1 + n
+            self.bytes += _ENTRY + len(w)
+        return now
 
     def features(self, texts: list[str]) -> np.ndarray:
         lists = [tokens(t) for t in texts]
@@ -417,7 +423,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
         claim("toxicity")
         for batch in batches:
             text = batch.column(text_col)
-            scores = [machine.value.scores([t.as_py() or "" for t in text.slice(k, 256)]) for k in range(0, len(text), 256)]
+            scores = [machine.value.scores([t.as_py() or "" for t in text.slice(k, BATCH)]) for k in range(0, len(text), BATCH)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())], names=[*kept, f"{prefix}score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + f", `{prefix}score` double"
