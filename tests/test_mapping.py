@@ -12,28 +12,28 @@ def ddl(s):
     return StructType.fromDDL(s)
 
 
-ENTITY2 = "ProfileId INT NOT NULL, Value FLOAT, Key STRING, MyLeg STRUCT<LegInt: INT, LegString: STRING, LegString2: STRING>, UID STRING NOT NULL, BadColumn STRING"
-SEODS = "Id INT, Name STRING, Name2 STRING, Price FLOAT, LegString STRING, LegString2 STRING, LegInt INT, Uid STRING, RawData BINARY"
+NESTED = "ProfileId INT NOT NULL, Value FLOAT, Key STRING, Stage1 STRUCT<StepNumber: INT, StepText: STRING, StepText2: STRING>, UID STRING NOT NULL, BadColumn STRING"
+WIDE = "Id INT, Name STRING, Name2 STRING, Price FLOAT, StepText STRING, StepText2 STRING, StepNumber INT, Uid STRING, RawData BINARY"
 MAPPINGS = {
     "Value": ColumnMapping("t", "Price", default=-2.0),
     "Key": [ColumnMapping("t", "Name", default="default"), ColumnMapping("t", "Name2", default="default")],
-    "MyLeg.LegInt": ColumnMapping("t", offset=6, default=2),
-    "MyLeg.LegString": ColumnMapping("t", "LegString", 4, default="LegString"),
-    "MyLeg.LegString2": ColumnMapping("t", default="LegString2"),
+    "Stage1.StepNumber": ColumnMapping("t", offset=6, default=2),
+    "Stage1.StepText": ColumnMapping("t", "StepText", 4, default="StepText"),
+    "Stage1.StepText2": ColumnMapping("t", default="StepText2"),
     "UID": ColumnMapping("t", "uid"),
     "BadColumn": ColumnMapping("t", "Nowhere", option=Option.OPTIONAL),
 }
 
 
 def test_defaults_optional_and_offsets(spark):
-    df = rows(spark, [(1, 0.5, "a", None, "u1", "x"), (2, None, "b", (5, "bleg", None), "u2", None), (3, 0.7, None, None, "u3", None)], ENTITY2)
-    a = Accessor(df.schema, ddl(SEODS), "t", Entity(MAPPINGS))
+    df = rows(spark, [(1, 0.5, "a", None, "u1", "x"), (2, None, "b", (5, "bleg", None), "u2", None), (3, 0.7, None, None, "u3", None)], NESTED)
+    a = Accessor(df.schema, ddl(WIDE), "t", Entity(MAPPINGS))
     got = {r.Uid: r for r in a.apply(df).collect()}
-    assert a.field_count == 7 and a.apply(df).columns == ["Name", "Name2", "Price", "LegString", "LegString2", "LegInt", "Uid"]
-    assert tuple(got["u2"])[:2] == ("b", "b") and got["u2"].LegInt == 5 and got["u2"].LegString == "bleg" and got["u2"].Price == -2
-    assert got["u3"].Name == "default" and round(got["u3"].Price, 4) == 0.7 and got["u3"].LegInt == 2 and got["u3"].LegString == "LegString"
+    assert a.field_count == 7 and a.apply(df).columns == ["Name", "Name2", "Price", "StepText", "StepText2", "StepNumber", "Uid"]
+    assert tuple(got["u2"])[:2] == ("b", "b") and got["u2"].StepNumber == 5 and got["u2"].StepText == "bleg" and got["u2"].Price == -2
+    assert got["u3"].Name == "default" and round(got["u3"].Price, 4) == 0.7 and got["u3"].StepNumber == 2 and got["u3"].StepText == "StepText"
     assert a.name_of(0) == "Id" and a.offset_of("PRICE") == 3 and a.offset_of("none") == -1
-    assert a.mapping_of(4).name == "LegString" and a.mapping_of(0) is None
+    assert a.mapping_of(4).name == "StepText" and a.mapping_of(0) is None
 
 
 @pytest.fixture
@@ -137,3 +137,36 @@ def test_nested_default_counts(spark):
     out = Accessor(df.schema, ddl("Value1 STRING, Value2 STRING"), "t", entity).apply(df)
     assert sorted(out.groupBy("Value1").count().collect()) == [("-", 3), ("a", 1)] and sorted(out.groupBy("Value2").count().collect()) == [("--", 2), ("a", 2)]
     assert out.agg(F.count("*")).first()[0] == 4
+
+
+def test_zero_values_and_defaults_of_other_types(spark):
+    from datetime import date, datetime
+    from decimal import Decimal
+
+    source = ddl("a STRUCT<d: DECIMAL(9,2) NOT NULL, day: DATE NOT NULL, at: TIMESTAMP NOT NULL>")
+    a = Accessor(source, ddl("d DECIMAL(9,2), day DATE, at TIMESTAMP"), "t", Entity({f"a.{k}": ColumnMapping("t") for k in ("d", "day", "at")}))
+    df = spark.createDataFrame([(None,)], ddl("a STRUCT<d: DECIMAL(9,2), day: DATE, at: TIMESTAMP>"))
+    assert a.apply(df).selectExpr("CAST(d AS STRING) d", "CAST(day AS STRING) day", "year(at) y").first() == ("0.00", "0001-01-01", 1)
+    fields = ddl("d DECIMAL(9,2), day DATE, at TIMESTAMP")
+    for path, good, bad in (("d", Decimal("1.5"), 1.5), ("day", date(2020, 1, 2), datetime(2020, 1, 2)), ("at", datetime(2020, 1, 2), "2020-01-02")):
+        Accessor(fields, fields, "t", Entity({path: ColumnMapping("t", default=good)}))
+        with pytest.raises(MappingError, match="default of type"):
+            Accessor(fields, fields, "t", Entity({path: ColumnMapping("t", default=bad)}))
+
+
+def test_name_at_an_offset_is_compared_with_case():
+    schema = ddl("Id INT, Name STRING")
+    assert Accessor(schema, schema, "t", Entity({"Name": ColumnMapping("t", "Name", 1)})).field_count == 1
+    with pytest.raises(MappingError):
+        Accessor(schema, schema, "t", Entity({"Name": ColumnMapping("t", "NAME", 1)}))
+
+
+def test_a_loop_of_references_is_left_out(caplog):
+    from pyspark.sql.types import StructField
+
+    inner = StructField("boss", ddl("name STRING"), metadata={"entity": "person"})
+    person = StructField("person", StructType([*ddl("name STRING").fields, inner]), metadata={"entity": "person"})
+    other = StructField("other", StructType([*ddl("name STRING").fields, StructField("team", ddl("title STRING"), metadata={"entity": "team"})]), metadata={"entity": "person"})
+    with caplog.at_level("WARNING"):
+        found = [".".join(p) for p, _ in m.paths_of(StructType([person, other]))]
+    assert found == ["person.name", "other.name", "other.team.title"] and "person.boss" in caplog.text

@@ -7,7 +7,7 @@ from weir.functions import match, values
 from weir.functions.match import AnyOf, Matcher, MatchKind, Rule, Text, Url, begins, contains, ends, exact, regex
 from weir.sources.readers import rows
 
-SITE = r"((http)|(https)://)?www.example.org/.*\.txt$"
+FEED = r"^ftps?://files\.[a-z]+/(pub|drop)/[^/]+\.csv$"
 
 
 @pytest.mark.parametrize(
@@ -19,8 +19,8 @@ SITE = r"((http)|(https)://)?www.example.org/.*\.txt$"
         (contains("abc"), ["abc", "abc1", "1abc"], ["abd", "ABC"]),
         (regex(".*ab[cd].*"), ["abc", "abc1", "1abc", "abd", "ABD"], ["abef"]),
         (regex("é"), ["É"], ["e"]),
-        (Url(SITE, MatchKind.REGEX, exclude_param=True), ["www.example.org/1.txt?a=b", "http://www.example.org/2.txt#section2", "https://www.example.org/3.txt"], ["https://www.example.org/3.txta"]),
-        (Url(SITE, MatchKind.REGEX), ["https://www.example.org/3.txt"], ["www.example.org/1.txt?a=b", "http://www.example.org/2.txt#section2", "https://www.example.org/3.txta"]),
+        (Url(FEED, MatchKind.REGEX, exclude_param=True), ["ftp://files.home/pub/day.csv?from=7", "FTPS://files.home/drop/x.csv#row=3", "ftp://files.away/pub/y.csv"], ["ftp://files.home/pub/day.csvx", "ftp://files.home/lost/day.csv?from=7"]),
+        (Url(FEED, MatchKind.REGEX), ["ftp://files.away/pub/y.csv"], ["ftp://files.home/pub/day.csv?from=7", "FTPS://files.home/drop/x.csv#row=3", "ftp://files.home/pub/day.csvx"]),
         (Url("HTTP://A", MatchKind.BEGINS), ["http://a/b", "HTTP://a"], ["xhttp://a"]),
         (Url("http://a", MatchKind.BEGINS, ignore_case=False), ["http://a/b"], ["HTTP://a"]),
         (Url("/X", MatchKind.ENDS, exclude_param=True), [" \t/a/x?q=/y\n", "/a/x#/z"], ["/a/y?/x"]),

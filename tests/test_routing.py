@@ -124,3 +124,24 @@ def test_filters_reach_the_scan(spark, capsys):
         text = capsys.readouterr().out
         line = next(x for x in text.split("\n") if x.startswith("PushedFilters"))
         assert pushed in line, (name, line)
+
+
+def test_garbage_is_counted_by_its_recorder(spark):
+    df = rows(spark, [("a", 1), ("b", 2), ("b", 3)], "kind string, v int")
+    r = Router(df).link("v > 2", name="big").left_to_null(lambda g: count_entities(g, "kind"))
+    assert sorted(map(tuple, r.garbage_counts().collect())) == [("a", 1), ("b", 1)]
+    plain = Router(df).link("v > 1", name="big").left_to_null()
+    assert [tuple(x) for x in plain.garbage_counts().collect()] == [("a", 1)]
+    assert Router(df.drop("kind")).link("v > 9", name="big").left_to_null().garbage_counts().first().n == 3
+
+
+def test_children_are_bounded(spark, monkeypatch):
+    from weir.operators import fan, recorder
+
+    monkeypatch.setattr(fan, "MAX_CHILDREN", 3)
+    monkeypatch.setattr(recorder, "MAX_KINDS", 3)
+    assert len(Dispatcher(spark.range(3), "id").keys()) == 3
+    with pytest.raises(ValueError, match="more than 3 keys"):
+        Dispatcher(spark.range(4), "id").keys()
+    with pytest.raises(ValueError, match="more than 3 kinds"):
+        recorder.Recorder().record(spark.range(4), F.col("id").cast("string"))
