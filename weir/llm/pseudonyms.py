@@ -5,7 +5,8 @@ added modulo A and B in turn. That is a bijection of the domain, so equal values
 document, different values different ones, and nothing has to be stored or joined.
 
 Kinds, tried in this order, and what makes a candidate valid (all else is left as it stands):
-  iban   two letters and 14 to 30 digits, ISO 7064 mod-97 remainder 1; the last 16 digits are permuted, check digits made anew
+  iban   two letters, two check digits and 12 to 30 digits, ISO 7064 mod-97 remainder 1; the last 16 digits (of fewer than
+         16, the last 12) are permuted, check digits made anew
   card   13 to 19 digits, singly spaced or hyphenated or not, Luhn-valid; all but the last digit permuted, the last made anew.
          Bare digits, 4-4-4-4 and 4-6-5 groups are tried at each group, so numbers at a card's side are no part of it;
          in other groupings the longest run counts
@@ -99,12 +100,13 @@ def pseudonym_sql(key: str) -> tuple[str, str]:
     code = lambda x: f"CAST(ascii(substring({x}, 1, 1)) - 55 AS STRING), CAST(ascii(substring({x}, 2, 1)) - 55 AS STRING)"
     rest = f"substring({d}, 3)"
     turned = f"concat(left({rest}, length({rest}) - 16), {_pad(feistel(f'CAST(right({rest}, 16) AS BIGINT)', 10**8, 10**8, 'iban', key), '16')})"
-    turned = f"IF(length({rest}) >= 16, {turned}, {_pad(feistel(f'CAST({rest} AS BIGINT)', 10**6, 10**6, 'iban12', key), '12')})"
+    least = f"concat(left({rest}, length({rest}) - 12), {_pad(feistel(f'CAST(right({rest}, 12) AS BIGINT)', 10**6, 10**6, 'iban12', key), '12')})"
+    turned = f"IF(length({rest}) >= 16, {turned}, {least})"
     check = f"concat({_pad('98 - ' + mod97(f'concat(x, {code(chr(109))}, {chr(39)}00{chr(39)})'), '2')}, x)"
     iban = _laid_out("m", f"element_at(transform(array({turned}), x -> {check}), 1)")
     whole = lambda p: f"m RLIKE {_sql('^(?:' + p + ')$')}"
     kind = f"""CASE
-        WHEN {whole(IBAN)} THEN IF((length({rest}) = 12 OR length({rest}) BETWEEN 16 AND 30) AND {mod97(f'concat({rest}, {code("m")}, left({d}, 2))')} = 1, 'iban', NULL)
+        WHEN {whole(IBAN)} THEN IF(length({rest}) BETWEEN 12 AND 30 AND {mod97(f'concat({rest}, {code("m")}, left({d}, 2))')} = 1, 'iban', NULL)
         WHEN {whole(DATE)} THEN IF(({day}) BETWEEN DATE'{FIRST_DAY}' AND DATE'2100-02-28', 'date', NULL)
         WHEN {whole(SSN)} THEN IF({area} BETWEEN 1 AND 899 AND {area} <> 666 AND {group} > 0 AND {serial} > 0, 'ssn', NULL)
         WHEN {whole(PHONE)} THEN 'phone'
