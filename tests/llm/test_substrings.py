@@ -90,6 +90,30 @@ def test_edges(spark):
         suffix_dedup.suffix_dedup(edge_docs(spark), 15)
 
 
+def test_chunks_too_large_for_a_worker_are_refused(spark, monkeypatch):
+    from weir.llm import blobs
+
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    assert blobs.layout(table)[0] >= 1
+    monkeypatch.setattr(blobs, "MOST_BYTES", 100)
+    with pytest.raises(ValueError, match="shuffle partitions"):
+        substring_dedup(table)
+    assert blobs.layout(docs(spark, [(1, "x")]).repartition(2))[0] >= 1  # a source of unknown size
+
+
+def test_texts_have_wide_offsets():
+    from weir.llm.blobs import Chunk
+
+    c = Chunk(pa.table({"chunk": pa.array([0, 0, 0], pa.int32()), "id": pa.array([2, 1, None]), "text": pa.chunked_array([["bb", "a"], [None]], pa.string())}))
+    assert c.off.dtype == np.int64 and c.data.tobytes() == b"abb" and c.order.tolist() == [1, 2, blobs_null()]
+
+
+def blobs_null():
+    from weir.llm.blobs import NULL_ID
+
+    return NULL_ID
+
+
 def test_stretches_do_not_depend_on_blocks(monkeypatch):
     rnd = random.Random(2)
     text = "".join(rnd.choice(["ab", "c", "de "]) for _ in range(3000))

@@ -22,6 +22,9 @@ from weir.llm.common import claim, parallelism, text_buffer
 #: blobs are as many as chunks times buckets at most, so they must not multiply where partitions are many and small.
 CHUNKS_PER_PARTITION, BUCKETS_PER_PARTITION = 4, 2
 LEAST_BYTES = 512 << 10
+#: Stored bytes of a chunk beyond which a worker may not have room for it: then the job is refused before it begins.
+#: Sizes from UNKNOWN on are the planner's for sources that it knows nothing of.
+MOST_BYTES, UNKNOWN = 256 << 20, 1 << 60
 ANSWER = "chunk int, bucket int, bits binary"
 #: Order of a null id: before all others.
 NULL_ID = np.iinfo(np.int64).min
@@ -30,7 +33,10 @@ NULL_ID = np.iinfo(np.int64).min
 def layout(docs: DataFrame) -> tuple[int, int]:
     """(chunks, buckets, a power of two). The size is the planner's, from the files' lengths; unknown counts as large."""
     n = parallelism(docs.sparkSession)
-    parts = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // LEAST_BYTES + 1
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = size // LEAST_BYTES + 1
+    if MOST_BYTES * CHUNKS_PER_PARTITION * n < size < UNKNOWN:
+        raise ValueError(f"{size} bytes need more shuffle partitions than {n}: a chunk of {size // (CHUNKS_PER_PARTITION * n)} bytes is held by one worker; set spark.sql.shuffle.partitions to {-(-size // (MOST_BYTES * CHUNKS_PER_PARTITION))} or more")
     return min(CHUNKS_PER_PARTITION * n, parts), 1 << (min(BUCKETS_PER_PARTITION * n, parts) - 1).bit_length()
 
 
@@ -45,6 +51,8 @@ class Chunk:
 
     def __init__(self, rows: pa.Table):
         claim("blobs")
+        # offsets of 64 bits, so a chunk may have more than 2 GB of text
+        rows = rows.set_column(rows.schema.get_field_index("text"), "text", rows.column("text").cast(pa.large_string()))
         rows = rows.sort_by([("id", "ascending"), ("text", "ascending")]) if rows.num_rows > 1 else rows
         self.number = rows.column("chunk")[0].as_py()
         self.ids = rows.column("id").combine_chunks()
