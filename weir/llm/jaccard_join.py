@@ -255,7 +255,6 @@ def _linked(table: DataFrame, num: int, den: int) -> DataFrame:
     sets = table.select("node", "items")
     nodes = table.select("node", "n", "grp")
     groups = table.groupBy("grp").agg(F.min("node").alias("rep"), *(F.first(c).alias(c) for c in ("n", "own", "core", "prefix")))
-    groups = stored(groups)
     posts = groups.select(F.posexplode(F.slice("prefix", F.lit(1), F.col("core"))).alias("idx", "token"), "grp", "rep", "n", "own", "core")
     posts = posts.withColumn("pos", F.col("idx") + F.col("own")).drop("own")
     # a shingle in one group only has nothing to join; a long list is dealt to several places of its pivot
@@ -263,17 +262,16 @@ def _linked(table: DataFrame, num: int, den: int) -> DataFrame:
     shared = stored(shared.select("token", F.ceil(F.col("c") / SALT_ROWS).cast("int").alias("salts")))
     posts = stored(posts.join(shared, "token"))
     crowd = stored(nodes.groupBy("grp").agg(F.count("*").alias("c")).filter("c > 1").select("grp", F.ceil(F.col("c") / SALT_ROWS).cast("int").alias("salts")))
-    crowded = stored(nodes.join(crowd, "grp"))
+    crowded = nodes.join(crowd, "grp")
 
     edges = None
     roots = nodes.select("node", F.col("node").alias("root")).filter("false")
     for k in range(PIVOT_ROUNDS):
-        at = stored(_rooted(posts.select("token", "salts", F.col("rep").alias("node"), "n", "pos"), roots))
+        at = _rooted(posts.select("token", "salts", F.col("rep").alias("node"), "n", "pos"), roots)
         # the pivot has few shingles before this one, so it is near to many
         near = F.struct(F.floor(F.col("pos") / (1 + 3 * k)), F.xxhash64("node", F.lit(k)))
         pairs = _against(at, "token", near, ("node", "n", "root", "pos")).filter(f"x.root <> y.root AND {_fits(num, den)}")
-        inner = stored(_rooted(crowded, roots))
-        inner = _against(inner, "grp", F.xxhash64("node", F.lit(k)), ("node", "root")).filter("x.root <> y.root")
+        inner = _against(_rooted(crowded, roots), "grp", F.xxhash64("node", F.lit(k)), ("node", "root")).filter("x.root <> y.root")
         ends = (F.col("x.node").alias("u"), F.col("y.node").alias("v"))
         found = verified(_distinct(pairs.select(*ends).unionByName(inner.select(*ends))), sets, num, den)
         edges = stored(found if edges is None else edges.unionByName(found))
@@ -281,25 +279,26 @@ def _linked(table: DataFrame, num: int, den: int) -> DataFrame:
 
     # What is left, exactly. A unit is a group that is in one component, or else each of its members.
     placed = stored(_rooted(nodes, roots))
-    span = stored(placed.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high")))
+    span = placed.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     whole = span.filter("low = high").select("grp", F.col("low").alias("root"), F.col("grp").alias("unit"))
     torn = placed.join(span.filter("low <> high").select("grp"), "grp", "left_semi").select("grp", "root", F.col("node").alias("unit"))
-    both = stored(whole.unionByName(torn))
+    both = whole.unionByName(torn)
     units = posts.select(F.col("token").alias("key"), "grp", "n", "pos", "idx", (F.col("core") - F.col("idx")).alias("width")).join(both, "grp")
     found = []
     for level in range(1, LEVELS + 1):
-        units = _split(units)
+        units, split = _split(units)
         direct = f"{level == LEVELS} OR c <= {BLOCK} OR (c - most) * c <= {ROW_COST} * wide"
-        found.append(_by_blocks(units.filter(direct), _fits(num, den, level - 1)))
-        many = units.filter(f"NOT ({direct})")
+        found.append(_by_blocks(units.join(split.filter(direct), "key"), _fits(num, den, level - 1)))
+        many = split.filter(f"NOT ({direct})")
         if level == LEVELS or many.isEmpty():
             break
-        units = _divided(many, groups, level, num, den)
+        units = _divided(units.join(many, "key"), groups, level, num, den)
     pairs = union_all(found).distinct()
-    member = stored(whole.select("grp", "unit").join(nodes, "grp").select("unit", "node").unionByName(torn.select("unit", F.col("unit").alias("node"))))
+    member = whole.select("grp", "unit").join(nodes, "grp").select("unit", "node").unionByName(torn.select("unit", F.col("unit").alias("node")))
     pairs = pairs.join(member.select(F.col("unit").alias("a"), F.col("node").alias("u")), "a").join(member.select(F.col("unit").alias("b"), F.col("node").alias("v")), "b").select("u", "v")
     torn = torn.select(F.col("grp").alias("key"), "unit", "root", F.lit(0).alias("width"), F.lit(0).alias("n"), F.lit(0).alias("pos"))
-    inside = _by_blocks(_split(torn), "true").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    torn, split = _split(torn)
+    inside = _by_blocks(torn.join(split, "key"), "true").select(F.col("a").alias("u"), F.col("b").alias("v"))
     last = verified(_distinct(pairs.unionByName(inside)), sets, num, den)
     return components(stored(edges.unionByName(last)))
 
@@ -311,20 +310,21 @@ def _fits(num: int, den: int, seen: int = 0) -> str:
 
 def _against(rows: DataFrame, key: str, near: Column, columns: tuple[str, ...]) -> DataFrame:
     """Each row x with the pivot y of its key, the row of the least `near`. A long list is joined in `salts` places, so
-    that no task has all rows of a hot key; the pivots' side is stored, so that both sides of the join can be split."""
+    that no task has all rows of a hot key."""
     pivots = rows.groupBy(key).agg(F.min_by(F.struct(*columns), near).alias("p"), F.first("salts").alias("salts"))
-    pivots = stored(pivots.select(key, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "p.*"))
+    pivots = pivots.select(key, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "p.*")
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).drop("salts")
     return dealt.alias("x").join(pivots.alias("y"), [key, "salt"])
 
 
-def _split(units: DataFrame) -> DataFrame:
-    """The units of the keys that have more than one component, with the key's figures: c units, `most` of them in the
-    component `main`, and `wide` rows if they were divided. The keys' side is stored, so that a hot key can be split."""
+def _split(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The units, and the keys that have more than one component with their figures: c units, `most` of them in the
+    component `main`, and `wide` rows if they were divided. Both are stored, so that a join of them can be split at a hot
+    key."""
     units = stored(units)
     sizes = units.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("width").alias("w"))
     split = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("c"), F.sum("w").alias("wide"))
-    return stored(units.join(stored(split.filter("roots > 1").drop("roots")), "key"))
+    return units, stored(split.filter("roots > 1").drop("roots"))
 
 
 def _divided(units: DataFrame, groups: DataFrame, level: int, num: int, den: int) -> DataFrame:
