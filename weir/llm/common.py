@@ -7,6 +7,8 @@ run on numpy arrays, and a window that is hot in one chunk is sent once from tha
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -56,10 +58,13 @@ _owner: tuple[str, Callable[[], None]] = ("", lambda: None)
 
 def claim(name: str, forget: Callable[[], None] = lambda: None) -> None:
     """Called by an operator's task in its worker. Workers outlive stages; what the operator before has remembered
-    there goes when the worker turns to another one."""
+    there goes when the worker turns to another one, and the memory goes back to the system."""
     global _owner
-    if _owner[0] != name:
+    if _owner[0] not in ("", name):
         _owner[1]()
+        gc.collect()
+        if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+            trim(0)
     _owner = (name, forget)
 
 
@@ -189,6 +194,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, mod: int
     rows = rows.join(F.broadcast(first.unionByName(second)), "id").select("id", "label", "text")
 
     def run(batches):
+        claim("sample")
         for batch in batches:
             values = pa.array([reduce(t.as_py()) for t in batch.column("text")], pa.binary() if kind == "binary" else pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), values], names=["id", "label", "value"])

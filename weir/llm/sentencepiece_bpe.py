@@ -41,9 +41,6 @@ class Memory:
         self.before: dict[str, str | tuple] = {}
         self.bytes = 0
 
-    def clear(self) -> None:
-        self.now, self.before, self.bytes = {}, {}, 0
-
     def put(self, key: str, value: str | tuple) -> None:
         self.bytes += _ENTRY + 2 * len(key) + (len(value) if isinstance(value, str) else 8 * len(value))
         if self.bytes > self.limit:
@@ -79,10 +76,6 @@ class Encoder:
         self.parts = Memory(PART_BYTES)
         self.words = Memory(WORD_BYTES)
 
-    def forget(self) -> None:
-        self.parts.clear()
-        self.words.clear()
-
     def merged(self, text: str) -> list[int]:
         """BPE by its definition: merge the adjacent pair of the best score, the leftmost of equal ones."""
         s = list(text)
@@ -243,8 +236,8 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     """
 
     def run(batches):
+        claim("pieces", encoder.cache_clear)
         enc = encoder(model_path)
-        claim(f"pieces {model_path}", enc.forget)
         for batch in batches:
             n, a, b, full, back = [], [], [], [], []
             for text in batch.column(1):

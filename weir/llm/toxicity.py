@@ -364,7 +364,7 @@ def train(texts: list[str], labels: list[int], weights: list[float] | None = Non
         load[sign < 0] *= 0.5 / load[sign < 0].sum()
         key, inverse = np.unique(row * 2 + (sign > 0), return_inverse=True)
         w, b = hinge(key // 2, phi, np.where(key % 2, 1.0, -1.0), np.bincount(inverse, weights=load), c=COST)
-        margin = phi @ w + b
+        margin = phi @ w.astype(np.float32) + b  # without a copy of phi in double precision
     out = Machine(known, table @ (root @ w), b, np.zeros(N_FEATURES + 1))
     x = np.concatenate([out.features([t or "" for t in texts[k : k + 200]]) for k in range(0, len(texts), 200)])
     out.logistic = logistic(x, y, weight)
@@ -397,6 +397,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", mod: int
     sample, counts = labelled_sample(docs, labels, label_col, mod, remainder, (SAMPLE_CLEAN, SAMPLE_TOXIC), sampled_sentences, "string", id_col, text_col)
 
     def fit(batches):
+        claim("training")
         rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("id", "label", "value")), strict=True))
         got = Counter(r[1] for r in rows)
         scale = {k: counts[k] / got[k] for k in got}
