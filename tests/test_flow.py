@@ -94,7 +94,7 @@ def test_hooks_and_clean_up():
 def test_cancel(spark):
     flow = Flow(spark)
     digest = F.sha2(F.col("id").cast("string"), 256)
-    slow = spark.range(2_000_000_000, numPartitions=4).agg(F.max(digest))
+    slow = spark.range(2_000_000_000, numPartitions=400).agg(F.max(digest))  # a task that runs may not notice, so tasks are short
     flow.add(lambda: slow.collect(), "slow")
     thread = flow.start()
     time.sleep(2)

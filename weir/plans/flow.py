@@ -134,7 +134,8 @@ class Flow:
     # ---- running
 
     def cancel(self, why: BaseException | None = None) -> None:
-        """Stop running jobs and start no more children."""
+        """Stop running jobs and start no more children. Spark launches no more tasks of a stopped job; one that runs and does
+        not notice ends by itself."""
         first = not self._cancelled.is_set()
         self._cancelled.set()
         self.error = self.error or why or FlowCancelledError(f"{self.full_name} was cancelled")
